@@ -7,8 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -59,8 +58,10 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[docs[f"`{src}`"].alias(dst) for dst, src in cols.items()])
 
 
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound what goes to a Python worker at once; the default of 10,000 rows is too much for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, pick
+from parlance.llm.common import bound_batches, materialize, pick
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
@@ -170,6 +170,7 @@ def cube_mix(
     only on the rows, so reruns agree.
     """
     spark = docs.sparkSession
+    bound_batches(spark, 10_000)
     slim = pick(docs, doc_id=id_col, text=text_col, source=source_col)
     rows = materialize(
         slim.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),

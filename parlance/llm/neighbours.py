@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, pick
+from parlance.llm.common import bound_batches, materialize, pick
 
 
 @dataclass(frozen=True)
@@ -208,6 +208,7 @@ def search(
     once. If no vector is usable, there are no rows.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     clean = pick(vectors, vec_id=id_col, v=vector_col).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     clean = clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).withColumn("same", F.xxhash64("v"))
     lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, pick
+from parlance.llm.common import bound_batches, materialize, pick
 
 GROUP_BITS = 24
 KEY_LOW, KEY_HIGH = -(1 << 63), (1 << 63) - 1
@@ -126,6 +126,7 @@ def shard_by_bytes(
     checksum of the empty text; rows equal in id and text share a key and stay together.
     No rows give no rows.
     """
+    bound_batches(docs.sparkSession, 10_000)
     rows = materialize(sort_keys(docs, id_col, text_col), "shard-keys")
     n = rows.count()
     per = max(4, min(most_parts // shards, -(-n // (rows_per_part * shards))))

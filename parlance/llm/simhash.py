@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from parlance.llm.common import materialize, pick, shuffle_parts
+from parlance.llm.common import bound_batches, materialize, pick, shuffle_parts
 from parlance.llm.components import connected_components
 
 BITS = 64
@@ -197,6 +197,7 @@ def simhash_components(
     have fingerprint 0 and link like any other. A component whose ids are all null has a
     null ``component_id``; ids that repeat are kept as rows. No rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     slim = pick(docs, doc_id=id_col, text=text_col)
     text = F.coalesce("text", F.lit(""))
     marks = materialize(slim.select("doc_id", F.xxhash64(text).alias("text_key"), fingerprint(text, shingle).alias("fp")), "simhash")

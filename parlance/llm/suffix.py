@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, pick, scratch_path, shuffle_parts
+from parlance.llm.common import bound_batches, materialize, pick, scratch_path, shuffle_parts
 
 #: Fixed odd constants of the rolling hash and its finish.
 BASE, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -300,6 +300,7 @@ def repeated_spans(docs: DataFrame, how: Repeats = Repeats(), text_col: str = "t
     """``(texts, covers)``: the table of different texts ``k1, k2, text, n`` and, for those with repeats,
     ``k1, k2, spans array<struct<low, high>>`` (bytes, not merged yet)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts, _ = _text_table(docs, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

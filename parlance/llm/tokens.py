@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
-from parlance.llm.common import pick
+from parlance.llm.common import bound_batches, pick
 
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,6 +161,7 @@ def worker_encoder(shared, kind: str) -> Encoder:
 
 def share(spark: SparkSession, path: str):
     """Broadcast a proved tokenizer: as large as its file (a few MB), whatever the corpus."""
+    bound_batches(spark)
     return spark.sparkContext.broadcast(prove(path))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from parlance.llm.common import materialize, pick
+from parlance.llm.common import bound_batches, materialize, pick
 
 HASH_BITS = 20
 #: Fixed odd multipliers of the pair hashes: one for each distance between the two words.
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "d
     documents lie, and one task walks through the sample in hash order. Without labelled
     documents all weights are zero.
     """
+    bound_batches(docs.sparkSession)
     drawn = materialize(sample_labels(labels, how.most_rows), "toxic-sample")
     slim = pick(docs, doc_id=id_col, text=text_col)
     rows = slim.join(F.broadcast(drawn), "doc_id").select(
