@@ -320,7 +320,8 @@ def repeated_spans(docs: DataFrame, how: Repeats = Repeats(), text_col: str = "t
         .where("times > 1")
         .select("anchor", (F.col("s0") != F.col("s1")).alias("varied"))
     )
-    found = materialize(every.join(again, "anchor"), "repeated-pieces")
+    # Written first, so that the join gets exchanges of its own, whose hot partitions can be split.
+    found = materialize(every.join(materialize(again, "repeated-anchors"), "anchor"), "repeated-pieces")
     alike = found.where("not varied").select("k1", "k2", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
 
     varied = found.where("varied")
