@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import materialize, pick
-from parlance.llm.tokens import share, worker_encoder
+from parlance.llm.tokens import WholeEncoder, share, worker_encoder
 
 WINDOW = 1024
 SHARD_TOKENS = 1_000_000
@@ -42,12 +42,12 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     if max(shared.value.whole.values(), default=0) >= 1 << 16:
         raise ValueError("ids must fit in 16 bits")
     slim = pick(docs, doc_id=id_col, text=text_col).withColumn("order", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(5)))
-    end = np.array([END_ID], "<u2").tobytes()
+    end = np.array([END_ID], "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared, "<u2")
+        encoder = worker_encoder(shared, "<u2", WholeEncoder)
         for b in batches:
-            ids = [encoder.ids(t.as_py()) + end for t in b.column("text")]
+            ids = [np.append(encoder.ids(t), end).tobytes() for t in b.column("text").to_pylist()]
             n = pa.array([len(x) // 2 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("order"), pa.array(ids, pa.binary()), n], names=["doc_id", "order", "ids", "n"])
 
@@ -61,8 +61,10 @@ def document_frequency(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                seen[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+            for ids in b.column("ids").to_pylist():
+                here = np.zeros(1 << 16, np.bool_)
+                here[np.frombuffer(ids, "<u2")] = True
+                seen[np.flatnonzero(here)] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
 

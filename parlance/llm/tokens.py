@@ -5,6 +5,12 @@ pre-token alone. Before any text is read, the driver proves with the library whi
 of the vocabulary come out as one token; pre-tokens among these need no merges, the others
 are merged once by the library and remembered.
 
+The merges themselves run in a rank-based merger, which joins the neighbours whose joint string
+has the lowest rank. It gives the library's result if every string of the vocabulary comes out
+of the library's merges as one token and ranks follow the order of the merges: when a token's
+span is about to be joined, nothing has crossed the span's ends, so its inside looks as it does
+alone, and alone it ends in the one listed pair. Both conditions are checked with the proofs.
+
 The pattern runs in Python. A second proof compares its character classes with the library's
 for every code point of the basic plane; texts with a code point on which they differ, or
 one beyond that plane, go to the library whole.
@@ -21,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -36,12 +43,15 @@ MOST_KNOWN = 400_000
 
 @dataclass(frozen=True)
 class Shortcut:
-    """What the proofs found: the tokenizer, whole tokens with ids, special strings, odd code points."""
+    """What the proofs found: the tokenizer, whole tokens with ids, special strings, the code points on
+    which our cuts (``odd``) or the merger's (``odd_whole``) differ, and the merger's ranks."""
 
     definition: str
     whole: dict[str, int]
     special: dict[str, int]
     odd: list[tuple[int, int]]
+    odd_whole: list[tuple[int, int]]
+    ranks: dict[bytes, int]
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -63,25 +73,66 @@ def _whole_tokens(tok: Tokenizer, vocab: dict[str, int]) -> dict[str, int]:
     return {t: e.ids[0] for t, e in zip(texts, found, strict=True) if len(e.ids) == 1}
 
 
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    """Ranges of the code points, and all beyond the basic plane."""
+    out: list[tuple[int, int]] = []
+    for c in sorted(set(points)):
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return [*out, (0x10000, 0x10FFFF)]
+
+
+def _blocks() -> Iterator[list[str]]:
+    for start in range(0, 0x10000, 1024):
+        yield [chr(c) for c in range(start, start + 1024) if not 0xD800 <= c < 0xE000]
+
+
+def _probe(c: str) -> str:
+    """A code point between a letter and a digit, and between signs."""
+    return f"a{c}1 \n!{c}! \n"
+
+
 def _odd_code_points(tok: Tokenizer, pattern) -> list[tuple[int, int]]:
-    """Ranges of code points for which the library's cuts and ours differ, between letters, digits and signs."""
+    """Code points for which the library's cuts and ours differ."""
     odd = []
     cut = tok.pre_tokenizer.pre_tokenize_str
-    for start in range(0, 0x10000, 1024):
-        block = [chr(c) for c in range(start, start + 1024) if not 0xD800 <= c < 0xE000]
-        parts = [f"a{c}1 \n!{c}! \n" for c in block]
+    for block in _blocks():
+        parts = list(map(_probe, block))
         text = "".join(parts)
         differ = {m.span() for m in pattern.finditer(text)} ^ {s for _, s in cut(text)}
         ends = np.cumsum([len(p) for p in parts])
         for a, b in differ:
             odd += block[int(np.searchsorted(ends, a, side="right")) : int(np.searchsorted(ends, b - 1, side="right")) + 1]
-    ranges: list[tuple[int, int]] = []
-    for c in sorted(set(map(ord, odd))):
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1] = (ranges[-1][0], c)
-        else:
-            ranges.append((c, c))
-    return [*ranges, (0x10000, 0x10FFFF)]
+    return _ranges(list(map(ord, odd)))
+
+
+def _odd_for_merger(tok: Tokenizer, merger: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """Code points for which the merger's cuts of whole texts differ from the library's."""
+    odd = []
+    for block in _blocks():
+        theirs = tok.encode_batch(list(map(_probe, block)), add_special_tokens=False)
+        odd += [ord(c) for c, e in zip(block, theirs, strict=True) if merger.encode_ordinary(_probe(c)) != e.ids]
+    return _ranges(odd)
+
+
+def _proved_ranks(tok: Tokenizer, vocab: dict[str, int], merges: list, special: dict[str, int]) -> dict[bytes, int]:
+    byte = _byte_of_char()
+    names = [n for n in vocab if n not in special]
+    ranks = {bytes(byte[c] for c in n): vocab[n] for n in names}
+    for n in names:
+        if len(tok.model.tokenize(n)) != 1:
+            raise ValueError("a string of the vocabulary does not merge to one token")
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    singles = {i for b, i in ranks.items() if len(b) == 1}
+    if made != sorted(made) or len(singles) != 256 or max(singles) >= min(made, default=1 << 31):
+        raise ValueError("ids do not follow the order of the merges")
+    return ranks
+
+
+def merger(ranks: dict[bytes, int], special: dict[str, int]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 @lru_cache(maxsize=4)
@@ -99,7 +150,13 @@ def prove(path: str) -> Shortcut:
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
         raise ValueError("added tokens that take white space along are not supported")
     whole = {t: i for t, i in _whole_tokens(tok, spec["model"]["vocab"]).items() if t not in special}
-    return Shortcut(definition, whole, special, _odd_code_points(tok, regex.compile(PATTERN)))
+    ranks = _proved_ranks(tok, spec["model"]["vocab"], spec["model"]["merges"], special)
+    odd_whole = _odd_for_merger(tok, merger(ranks, special))
+    return Shortcut(definition, whole, special, _odd_code_points(tok, regex.compile(PATTERN)), odd_whole, ranks)
+
+
+def _any_of(ranges: list[tuple[int, int]]):
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search
 
 
 class Encoder:
@@ -113,14 +170,16 @@ class Encoder:
         self.cut = regex.compile(PATTERN).findall
         self.special = {t: np.array([i], self.kind).tobytes() for t, i in shortcut.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(shortcut.special, key=len, reverse=True))) + ")").split if shortcut.special else None
-        self.odd = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in shortcut.odd) + "]").search
+        self.odd = _any_of(shortcut.odd)
+        self.merge = merger(shortcut.ranks, shortcut.special)._encode_single_piece
 
     def _merge(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > MOST_KNOWN:
             self.known = dict(self.whole)
-        wanted = [p for p in pieces if p not in self.known]
-        for p, e in zip(wanted, self.tok.encode_batch(wanted, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        width = self.kind.itemsize
+        for p in pieces:
+            if p not in self.known:
+                self.known[p] = b"".join([i.to_bytes(width, "little") for i in self.merge(p)])
 
     def _run(self, text: str) -> bytes:
         cuts = self.cut(text)
@@ -149,14 +208,33 @@ class Encoder:
         return len(self.ids(text)) // self.kind.itemsize
 
 
-_ENCODERS: dict[str, tuple[Shortcut, Encoder]] = {}
+class WholeEncoder:
+    """The same ids where all of them are wanted: the merger runs over whole texts."""
+
+    def __init__(self, shortcut: Shortcut, kind: str = "<u4"):
+        self.kind = np.dtype(kind)
+        self.tok = Tokenizer.from_str(shortcut.definition)
+        self.merger = merger(shortcut.ranks, shortcut.special)
+        self.special = set(shortcut.special)
+        self.odd = _any_of(shortcut.odd_whole)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, self.kind)
+        if self.odd(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+        return self.merger.encode_to_numpy(text, allowed_special=self.special).astype(self.kind)
+
+
+_ENCODERS: dict[tuple, tuple[Shortcut, Encoder]] = {}
 
 
-def worker_encoder(shared, kind: str) -> Encoder:
+def worker_encoder(shared, kind: str, make=Encoder):
     """The encoder of this Python worker, made once from a broadcast ``Shortcut``."""
-    if kind not in _ENCODERS or _ENCODERS[kind][0] is not shared.value:
-        _ENCODERS[kind] = (shared.value, Encoder(shared.value, kind))
-    return _ENCODERS[kind][1]
+    key = (kind, make)
+    if key not in _ENCODERS or _ENCODERS[key][0] is not shared.value:
+        _ENCODERS[key] = (shared.value, make(shared.value, kind))
+    return _ENCODERS[key][1]
 
 
 def share(spark: SparkSession, path: str):
