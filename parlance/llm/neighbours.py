@@ -25,8 +25,8 @@ from parlance.llm.common import bound_batches, materialize, pick
 
 @dataclass(frozen=True)
 class Partitions:
-    """``most_sample`` bounds the fit; ``part_rows`` is a part's intended size, ``block_rows`` and
-    ``block_queries`` what one task compares at once."""
+    """``most_sample`` bounds the fit; ``part_rows`` is a part's intended size, ``block_rows`` (a
+    shelf of parts) and ``block_queries`` what one task compares at once."""
 
     most_sample: int = 8192
     part_rows: int = 2000
@@ -34,7 +34,7 @@ class Partitions:
     links: int = 10
     slack: float = 1.1
     recall: float = 0.97
-    block_rows: int = 8192
+    block_rows: int = 16384
     block_queries: int = 4096
     epochs: int = 30
 
@@ -168,7 +168,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _compare(top: int):
-    """One block: the best of its vectors for each of its queries, scored as an exact sum in a fixed order."""
+    """One shelf: the best of its vectors for each of its queries, scored as an exact sum in a fixed order.
+
+    A query meets only the vectors of the parts that it looks into.
+    """
 
     def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -178,9 +181,11 @@ def _compare(top: int):
             x = np.stack(rows["v"].to_numpy()).astype(np.float64)
             q = np.stack(asks["v"].to_numpy()).astype(np.float64)
             names = asks["query_id"].to_numpy()
+            kinds, part = np.unique(rows["part"].to_numpy(), return_inverse=True)
+            looks = np.stack([np.isin(kinds, p) for p in asks["parts"]])
             for a in range(0, len(q), 256):
                 s = q[a : a + 256] @ x.T
-                s[names[a : a + 256, None] == ids[None, :]] = -np.inf
+                s[~looks[a : a + 256][:, part]] = -np.inf
                 k = min(top, len(ids))
                 edge = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
                 margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
@@ -196,6 +201,21 @@ def _compare(top: int):
     return run
 
 
+def shelves(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """``part, first shelf, shelves``: small parts share a shelf of ``most`` rows, a large part gets several."""
+    out, shelf, room = [], 0, most
+    for part, n in sorted(sizes.items()):
+        need = max(1, -(-n // most))
+        if need > 1 or n > room:
+            shelf, room = shelf + (room < most), most
+        out.append((part, shelf, need))
+        if need > 1:
+            shelf, room = shelf + need, most
+        else:
+            room -= n
+    return out
+
+
 def search(
     vectors: DataFrame, every: int = 20, top: int = 20, how: Partitions = Partitions(), id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -240,13 +260,14 @@ def search(
     asks = asks.mapInArrow(file(router.probes), "query_id long, v array<double>, parts array<int>")
     n_asks = max(1, asks.count())
     slices = max(1, -(-n_asks // how.block_queries))
-    blocks = spark.createDataFrame([(p, -(-n // how.block_rows)) for p, n in sorted(sizes.items())], "part int, blocks int")
-    left = asks.select("query_id", "v", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
-    right = filed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int"))
-    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    key = ["part", "block", "slice"]
-    near = left.groupBy(*key).cogroup(right.select("vec_id", "v", *key).groupBy(*key)).applyInPandas(_compare(top + 1), "query_id long, vec_id long, score double")
+    plan = spark.createDataFrame(shelves(sizes, how.block_rows), "part int, first int, shelves int")
+    mine = asks.select("query_id", "v", "parts", F.explode("parts").alias("part")).join(F.broadcast(plan), "part")
+    mine = mine.select("query_id", "v", "parts", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shelves") - 1)).alias("shelf"))
+    left = mine.dropDuplicates(["query_id", "shelf"]).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    own = F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("shelves")).cast("int")
+    right = filed.join(F.broadcast(plan), "part").select("vec_id", "v", "part", own.alias("shelf"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    key = ["shelf", "slice"]
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compare(top + 1), "query_id long, vec_id long, score double")
     # A query's own vector may have other ids, so the representative stays in until ids are spread out.
     spread = near.join(filed.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
