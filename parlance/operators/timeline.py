@@ -39,7 +39,7 @@ def yearly_metrics(years: DataFrame) -> DataFrame:
     first = lambda c: F.array_position(c, F.array_max(c)).cast("int")
     ratio = lambda a, b: F.when(b > 0, round1(a / b)).otherwise(0.0)
     return years.select(
-        "year", "total_messages", "total_chars", "assistant_msgs", "assistant_chars", "images", days.alias("n_active_days"),
+        "year", "total_messages", "total_chars", "assistant_msgs", "assistant_chars", "images", days.cast("long").alias("n_active_days"),
         ratio(F.col("total_chars"), days).alias("avg_chars_per_day"), ratio(F.col("assistant_chars"), F.col("assistant_msgs")).alias("avg_assistant_chars"),
         first("chars_by_month").alias("top_month"), (first("hour_buckets") - 1).alias("peak_hour"),
     )
