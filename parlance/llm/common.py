@@ -58,7 +58,7 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[docs[f"`{src}`"].alias(dst) for dst, src in cols.items()])
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Bound what goes to a Python worker at once; the default of 10,000 rows is too much for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -44,9 +44,9 @@ class Repeats:
 
     length: int = 400
     anchor: int = 32
-    index_bytes: int = 1_000_000
+    index_bytes: int = 500_000
     hot_bytes: int = 2_000_000
-    chunk: int = 1 << 20
+    chunk: int = 1 << 18
 
 
 def _rolling(buffer: np.ndarray, k: int) -> np.ndarray:
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, how: Repeats = Repeats(), text_col: str = "t
         hits = each.join(twice, ["w1", "w2"]).groupBy("anchor", "same").agg(F.min("at").alias("low"), (F.max("at") + how.length).cast("int").alias("high"))
         covers = covers.unionByName(hits)
     whole = kinds.where("times > 1").select("anchor", "same", F.lit(0).alias("low"), F.col("one.size").alias("high"))
-    covers = covers.unionByName(whole).groupBy("anchor", "same").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    covers = materialize(covers.unionByName(whole).groupBy("anchor", "same").agg(F.min("low").alias("low"), F.max("high").alias("high")), "covers")
     placed = varied.join(covers, ["anchor", "same"]).select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     spans = alike.unionByName(placed).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts, spans

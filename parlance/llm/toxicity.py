@@ -11,7 +11,7 @@ between them, each present or absent, so a word counts once however long the tex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -87,11 +87,11 @@ class Learner:
         self.n[at] = n + g * g
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+def fit_rows(rows: Callable[[], Iterable[tuple[np.ndarray, int]]], how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights that are not zero; the bias has number ``2 ** HASH_BITS``."""
     learner = Learner(how)
     for _ in range(how.epochs):
-        for at, label in rows:
+        for at, label in rows():
             learner.learn(at, label, how.toxic_weight if label else 1.0)
     w = learner.weights(slice(None))
     kept = np.flatnonzero(w)
@@ -138,11 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "d
     )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = []
-        for b in batches:
-            for at, label in zip(b.column("at"), b.column("label"), strict=True):
-                sample.append((np.frombuffer(at.as_py(), "<i4"), label.as_py()))
+        # Batches stay as they came: their buffers go back to the system as a whole afterwards.
+        held = list(batches)
+
+        def sample() -> Iterator[tuple[np.ndarray, int]]:
+            for b in held:
+                for at, label in zip(b.column("at"), b.column("label"), strict=True):
+                    yield np.frombuffer(at.as_buffer(), "<i4"), label.as_py()
+
         number, weight = fit_rows(sample, how)
+        held.clear()
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(weight)], names=["number", "weight"])
 
     one = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "tie")

@@ -145,7 +145,7 @@ def test_op6_held_out_accuracy(spark):
 
 def test_op6_weights_are_sparse():
     rows = [(toxicity.features(f"good words {i}" if i % 3 else f"vile words {i}"), int(i % 3 == 0)) for i in range(300)]
-    number, weight = toxicity.fit_rows(rows, toxicity.Ftrl())
+    number, weight = toxicity.fit_rows(lambda: rows, toxicity.Ftrl())
     assert 0 < len(number) < 30 and np.isfinite(weight).all()
 
 
