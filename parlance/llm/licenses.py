@@ -158,7 +158,7 @@ def oracle_sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHO
     t AS (SELECT license, {grams("w")} AS g FROM t1),
     u0 AS (SELECT doc_id, unnest(list_distinct(list_concat([text], string_split(text, chr(10) || chr(10)), string_split(text, chr(10))))) AS unit FROM documents),
     u1 AS (SELECT doc_id, {words("unit")} AS w FROM u0),
-    u AS (SELECT doc_id, {grams("w")} AS g FROM u1 WHERE len(w) BETWEEN 2 AND 4000),
+    u AS (SELECT doc_id, {grams("w")} AS g FROM u1 WHERE len(w) >= 2),
     s AS (SELECT doc_id, license, round(2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)), 6) AS score
           FROM u JOIN t ON len(u.g) BETWEEN len(t.g) * {threshold} / (2 - {threshold}) - 0.001 AND len(t.g) * (2 - {threshold}) / {threshold} + 0.001)
     SELECT doc_id, license, max(score) AS score, count(*) AS n_units FROM s WHERE score >= {threshold} GROUP BY doc_id, license"""
