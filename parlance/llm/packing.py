@@ -29,7 +29,9 @@ END_ID = 0
 
 @dataclass(frozen=True)
 class Bm25:
-    """``common``: tokens in more than this share of all documents do not query (their weight is near zero)."""
+    """``common``: tokens in more than this share of all documents do not query; their idf is at most
+    ``ln(1 / common)``. It is a share, so the choice is alike at every size, and which document fills a
+    window is all that depends on it: every document is packed."""
 
     k1: float = 1.2
     b: float = 0.75
