@@ -257,15 +257,19 @@ def search(
     filed = materialize(filed.select("vec_id", "ids", "v", F.element_at("parts", 1).alias("part")), "filed-vectors")
     sizes = {r["part"]: r["n"] for r in filed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     asks = clean.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    asks = asks.mapInArrow(file(router.probes), "query_id long, v array<double>, parts array<int>")
-    n_asks = max(1, asks.count())
-    slices = max(1, -(-n_asks // how.block_queries))
-    plan = spark.createDataFrame(shelves(sizes, how.block_rows), "part int, first int, shelves int")
-    mine = asks.select("query_id", "v", "parts", F.explode("parts").alias("part")).join(F.broadcast(plan), "part")
-    mine = mine.select("query_id", "v", "parts", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shelves") - 1)).alias("shelf"))
-    left = mine.dropDuplicates(["query_id", "shelf"]).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    asks = materialize(asks.mapInArrow(file(router.probes), "query_id long, v array<double>, parts array<int>"), "routed-queries")
+    plan = spark.createDataFrame(shelves(sizes, how.block_rows), "part int, first int, shelves int")  # at most most_parts rows
+    looks = asks.select("query_id", F.explode("parts").alias("part")).join(F.broadcast(plan), "part")
+    looks = looks.select("query_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shelves") - 1)).alias("shelf")).distinct()
+    # A shelf is copied once for each block of the queries that look into it, not of all queries.
+    slices = F.ceil(F.count("*") / how.block_queries).cast("int")
+    looks = materialize(looks, "query-shelves")
+    cuts = materialize(looks.groupBy("shelf").agg(slices.alias("slices")), "shelf-slices")
+    left = looks.join(cuts, "shelf").join(asks, "query_id")
+    left = left.select("query_id", "v", "parts", "shelf", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int").alias("slice"))
     own = F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("shelves")).cast("int")
-    right = filed.join(F.broadcast(plan), "part").select("vec_id", "v", "part", own.alias("shelf"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    right = filed.join(F.broadcast(plan), "part").select("vec_id", "v", "part", own.alias("shelf")).join(cuts, "shelf")
+    right = right.select("vec_id", "v", "part", "shelf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     key = ["shelf", "slice"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compare(top + 1), "query_id long, vec_id long, score double")
     # A query's own vector may have other ids, so the representative stays in until ids are spread out.
