@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.scalars import normalize_role, normalize_ts
 from parlance.functions.text import char_length, utf16_length
+from parlance.sources.split import read_elements
 
 SEARCH_DEPTH = 4
 IMAGE_URL = r"(?i)\.(png|jpe?g|gif|webp|bmp|svg|heic|heif|tiff?|avif)(\?|#|$)"
@@ -60,6 +61,15 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     return parse_conversations(files)
 
 
+def read_large(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_conversations``, for files that no task could hold: arrays are read in blocks, only other roots whole."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    elements, other = read_elements(spark, path)
+    parsed = elements.select(F.xxhash64("file", "owner", "no").alias("conv_id"), F.try_parse_json("raw").alias("conv"))
+    parsed = parsed.where(_is_object(F.col("conv")))
+    return parsed.unionByName(parse_conversations(spark.read.text(other, wholetext=True))) if other else parsed
+
+
 def parse_conversations(files: DataFrame, col: str = "value") -> DataFrame:
     body = F.regexp_replace(F.col(col), r"^[^\[{]+", "")
     elements = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
