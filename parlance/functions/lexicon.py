@@ -23,3 +23,5 @@ MIN_FREQ, MIN_PMI, WHITELIST_BONUS = 5, 1.5, 1.1
 UNI_OF_BI, UNI_OF_TRI, BI_OF_TRI = 0.85, 0.75, 0.85
 TOP_PER_ORDER, MOST_CANDIDATES, TOP_VIEW = 3000, 3000, 10
 DAY_MS = 86_400_000
+#: The last millisecond that counts as a date.
+LAST_MS = 100_000_000 * DAY_MS

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.lexicon import DAY_MS
+from parlance.functions.lexicon import DAY_MS, LAST_MS
 
 
 def normalize_ts(raw: Column) -> Column:
-    """Seconds, milliseconds or microseconds to epoch milliseconds; nothing sensible gives null."""
+    """Seconds, milliseconds or microseconds to epoch milliseconds; nothing sensible, or no date, gives null."""
     x = raw.try_cast("double")
     ok = x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf"))
     ms = F.when(x < 1e12, F.floor(x * 1000 + 0.5)).when(x > 1e15, F.floor(x / 1000 + 0.5)).otherwise(F.floor(x))
-    return F.when(ok, ms).cast("long")
+    return F.when(ok & (ms <= LAST_MS), ms).cast("long")
 
 
 def normalize_role(raw: Column) -> Column:
@@ -71,8 +71,12 @@ def round1(x: Column) -> Column:
 
 
 def utc(ts_ms: Column) -> Column:
-    return F.timestamp_millis(ts_ms)
+    """The UTC date and time, without a zone: the session's time zone has no part in it."""
+    ts = F.when(F.abs(ts_ms) <= LAST_MS, ts_ms)
+    within = (F.pmod(ts, F.lit(DAY_MS)) / 1000).cast("decimal(18,6)")
+    since = F.make_dt_interval(F.floor(ts / DAY_MS).cast("int"), F.lit(0), F.lit(0), within)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
 
 
 def month_key(ts_ms: Column) -> Column:
-    return F.date_format(utc(ts_ms), "yyyy-MM")
+    return F.date_format(utc(ts_ms).cast("date"), "yyyy-MM")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.functions.text import mask_text, ngrams, tokens
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def token_lists(messages: DataFrame, mask=None) -> DataFrame:
     """``conv_id, msg_seq, words``: explode() keeps the list as a column, so it is made once."""
@@ -15,6 +17,11 @@ def token_lists(messages: DataFrame, mask=None) -> DataFrame:
     return messages.select("conv_id", "msg_seq", F.explode(F.array(made)).alias("words"))
 
 
+def token_total(lists: DataFrame) -> DataFrame:
+    """One row with the number of all tokens."""
+    return lists.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("total"))
+
+
 def grams(lists: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``n, token, lhs, rhs`` of all n-grams inside messages."""
     every = F.concat(*[ngrams(F.col("words"), n) for n in orders])
@@ -26,10 +33,18 @@ def gram_counts(all_grams: DataFrame) -> DataFrame:
 
 
 def heavy_hitters(counts: DataFrame, limits: dict[int, int]) -> DataFrame:
-    """The most frequent n-grams of each order, exact, ties by token."""
+    """The most frequent n-grams of each order, exact, ties by token.
+
+    Each task keeps its own best before the exchange, so what is ranked at the end does not grow with
+    the vocabulary; Spark does so only for a literal bound under a threshold, which is raised here.
+    """
+    most, conf = max(limits.values(), default=0), counts.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < most + 1:
+        conf.set(GROUP_LIMIT, str(most + 1))
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "token"))
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return counts.withColumn("ord", rank).where(F.col("ord") <= F.element_at(limit, F.col("n")))
+    best = counts.where(F.col("n").isin(*limits)).withColumn("ord", rank).where(F.col("ord") <= most)
+    return best.where(F.col("ord") <= F.element_at(limit, F.col("n")))
 
 
 def with_support(base: DataFrame) -> DataFrame:
@@ -82,6 +97,15 @@ def _pmi(joint, a, b, total):
     return F.when((joint > 0) & (a > 0) & (b > 0) & (total > 0), F.log2(joint * total / (a * b))).otherwise(0.0)
 
 
+def bigram_pmi(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """``token, freq, pmi`` of the two-word n-grams of ``counts(n, token, freq)``; 0 where a part does not occur."""
+    one = lambda name: counts.where("n = 1").select(F.col("token").alias(name), F.col("freq").cast("double").alias(f"f_{name}"))
+    pairs = counts.where("n = 2").withColumns({"a": F.get(F.split("token", " "), F.lit(0)), "b": F.get(F.split("token", " "), F.lit(1))})
+    rows = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").fillna(0.0, ["f_a", "f_b"]).crossJoin(F.broadcast(total))  # one row
+    pmi = _pmi(F.col("freq").cast("double"), F.col("f_a"), F.col("f_b"), F.col("total").cast("double"))
+    return rows.select("token", "freq", F.round(pmi, 6).alias("pmi"))
+
+
 def score(counts: DataFrame, entropy: DataFrame, total: DataFrame) -> DataFrame:
     """``token, n, freq, pmi, left_entropy, right_entropy, min_entropy, score``.
 
@@ -130,5 +154,4 @@ def keyword_scores(messages: DataFrame, per_order: int = L.TOP_PER_ORDER, mask=N
     names = with_support(heavy_hitters(counts, dict.fromkeys((1, 2, 3), per_order))).select("n", "token")
     chosen = counts.join(F.broadcast(names), ["n", "token"], "left_semi")  # at most 3 * per_order bundles
     entropy = neighbour_entropy(every.where("n > 1").join(F.broadcast(names), ["n", "token"], "left_semi"))
-    total = lists.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("total"))
-    return score(chosen, entropy, total)
+    return score(chosen, entropy, token_total(lists))

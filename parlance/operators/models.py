@@ -39,7 +39,7 @@ def model_buckets(messages: DataFrame, now_ms: int, kind: str = "last12months",
 
 
 def bucket_view(buckets: DataFrame) -> DataFrame:
-    """One row a month, models by messages descending, then label."""
+    """``month_key, msgs, models``: one row a month, models by messages descending, then label."""
     pair = F.struct((-F.col("msgs")).alias("minus"), F.col("family").alias("family"), F.col("msgs").alias("msgs"))
     listed = F.array_sort(F.collect_list(F.when(F.col("family").isNotNull() & (F.col("msgs") > 0), pair)))
     return buckets.groupBy("month_key").agg(F.sum("msgs").alias("msgs"), F.transform(listed, lambda x: F.struct(x.family.alias("family"), x.msgs.alias("msgs"))).alias("models"))
@@ -47,7 +47,16 @@ def bucket_view(buckets: DataFrame) -> DataFrame:
 
 def model_share(messages: DataFrame, now_ms: int, kind: str = "last12months", mode: str = "full") -> DataFrame:
     """``family, msgs, share, rank``: named families by messages, then Tools, then Unknown."""
-    sums = _own(messages, _since(now_ms, kind), mode).groupBy("family").agg(F.count("*").alias("msgs"))
+    return _ranked(_own(messages, _since(now_ms, kind), mode).groupBy("family").agg(F.count("*").alias("msgs")))
+
+
+def bucket_share(buckets: DataFrame, since_ms: int = 0) -> DataFrame:
+    """The same from month buckets: whole months count, unless they end before ``since_ms``."""
+    kept = buckets.where((F.col("msgs") > 0) & F.col("family").isNotNull() & (F.col("month_key") >= month_key(F.lit(since_ms))))
+    return _ranked(kept.groupBy("family").agg(F.sum("msgs").alias("msgs")))
+
+
+def _ranked(sums: DataFrame) -> DataFrame:
     last = F.when(F.col("family") == "Tools", 1).when(F.col("family") == "Unknown", 2).otherwise(0)
     whole = Window.partitionBy()
     ranked = sums.withColumn("share", F.col("msgs") / F.sum("msgs").over(whole))

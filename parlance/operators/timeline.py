@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.scalars import round1, utc
@@ -12,11 +12,12 @@ def yearly_aggregate(messages: DataFrame, hour_tz: str = "UTC") -> DataFrame:
     """One row a UTC year ('unknown' without a valid time) of ``messages(role, ts_ms, char_len, images)``."""
     ok = F.coalesce(F.col("ts_ms") > 0, F.lit(False))
     at = utc(F.col("ts_ms"))
+    ok = ok & at.isNotNull()
     rows = messages.select(
-        F.when(ok, F.date_format(at, "yyyy")).otherwise("unknown").alias("year"),
+        F.when(ok, F.date_format(at.cast("date"), "yyyy")).otherwise("unknown").alias("year"),
         F.when(ok, F.month(at)).alias("month"),
-        F.when(ok, F.hour(F.convert_timezone(F.lit("UTC"), F.lit(hour_tz), at.cast("timestamp_ntz")))).alias("hour"),
-        F.when(ok, F.date_format(at, "yyyy-MM-dd")).alias("day"),
+        F.when(ok, F.hour(F.convert_timezone(F.lit("UTC"), F.lit(hour_tz), at))).alias("hour"),
+        F.when(ok, F.date_format(at.cast("date"), "yyyy-MM-dd")).alias("day"),
         (F.col("role") == "assistant").alias("own"),
         "char_len", "images",
     )
@@ -33,6 +34,25 @@ def yearly_aggregate(messages: DataFrame, hour_tz: str = "UTC") -> DataFrame:
     )
 
 
+def coerce_years(years: DataFrame) -> DataFrame:
+    """Aggregates from elsewhere as ``yearly_aggregate`` makes them: what is missing or no finite number counts 0.
+
+    Months are filled up to 12 and hours to 24; days are distinct. Rows without a year go.
+    """
+    def number(c: Column) -> Column:
+        x = c.try_cast("double")
+        return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x).cast("long")
+
+    have = lambda c, kind: F.col(c) if c in years.columns else F.lit(None).cast(kind)
+    filled = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: number(F.get(have(c, "array<long>"), i))).alias(c)
+    days = F.coalesce(have("active_days", "array<string>"), F.array().cast("array<string>"))
+    totals = ["total_messages", "total_chars", "assistant_chars", "assistant_msgs"]
+    return years.where("year is not null").select(
+        "year", *[number(have(c, "long")).alias(c) for c in totals], filled("chars_by_month", 12), filled("hour_buckets", 24),
+        number(have("images", "long")).alias("images"), F.array_sort(F.array_distinct(F.array_compact(days))).alias("active_days"),
+    )
+
+
 def yearly_metrics(years: DataFrame) -> DataFrame:
     """Averages, most active month (1 if all are 0) and peak hour of ``yearly_aggregate`` rows."""
     days = F.size("active_days")

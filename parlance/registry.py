@@ -124,6 +124,30 @@ def _export(s, d):
     return made.groupBy("role", "model").agg(F.count("*").alias("msgs"), F.sum("char_len").alias("chars"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"))
 
 
+def _pmi(s, d):
+    lists = keywords.token_lists(_recent(s, d))
+    return keywords.bigram_pmi(keywords.gram_counts(keywords.grams(lists, (1, 2))), keywords.token_total(lists))
+
+
+def _bucket_view(s, d):
+    v = models.bucket_view(_model_buckets(s, d)).select("month_key", F.col("msgs").alias("total"), F.posexplode_outer("models").alias("pos", "m"))
+    return v.select("month_key", "total", "pos", F.col("m.family").alias("family"), F.col("m.msgs").alias("msgs"))
+
+
+def _bucket_share(s, d):
+    every = models.model_buckets(messages(s, d), NOW_MS, "all")
+    return models.bucket_share(every, SINCE_365).select("family", "msgs", F.round("share", 9).alias("share"), "rank")
+
+
+def _shard_text(s, d):
+    m = export.emitted(messages(s, d).withColumn("name", F.lit(None).cast("string"))).withColumn("month", scalars.month_key(F.col("ts_ms")))
+    return shards.shard_text(m)
+
+
+def _legacy(s, d):
+    return shards.legacy_messages(_shard_text(s, d)).select("shard", "content", "ts_ms")
+
+
 def _masked(s, d):
     return messages(s, d).select("conv_id", "msg_seq", text.mask_text(F.col("content"), MASK).alias("masked"))
 
@@ -161,6 +185,11 @@ def queries() -> dict[str, Query]:
         "top_words": _view("words"),
         "reconcile_views": _reconcile,
         "shard_catalog": _catalog,
+        "bigram_pmi": _pmi,
+        "model_bucket_view": _bucket_view,
+        "model_share_by_month": _bucket_share,
+        "shard_text": _shard_text,
+        "legacy_shard_lines": _legacy,
         "export_normalize": _export,
     }
 
@@ -271,7 +300,19 @@ def oracle_sql() -> dict[str, str]:
     for old, new in MASK:
         masked = f"replace({masked}, '{old}', '{new}')"
     values = lambda rows: ", ".join(f"('{v}', {k}::INT, '{t}', {n}::INT, {f}::BIGINT, {s}::DOUBLE)" for v, k, t, n, f, s in rows)
+    own_text = f"""st AS (SELECT strftime({_AT}, '%Y-%m') AS shard, string_agg(content, chr(10) ORDER BY conv_id, msg_seq) AS text FROM messages WHERE role = 'assistant' GROUP BY 1)"""
+    by_month = lambda since: f"""b AS (SELECT strftime({_AT}, '%Y-%m') AS month_key, {_FULL} AS family, count(*) AS n FROM messages WHERE role = 'assistant' AND ts_ms >= {since} GROUP BY 1, 2)"""
     return {
+        "bigram_pmi": f"""{recent}, tot AS (SELECT sum(len(w))::DOUBLE AS t FROM lists), o AS (SELECT token, freq FROM counts WHERE n = 1)
+          SELECT k.token, k.freq, round(CASE WHEN x.freq > 0 AND y.freq > 0 THEN log2(k.freq * t / (x.freq::DOUBLE * y.freq)) ELSE 0 END, 6) AS pmi FROM counts k CROSS JOIN tot
+          LEFT JOIN o x ON x.token = string_split(k.token, ' ')[1] LEFT JOIN o y ON y.token = string_split(k.token, ' ')[2] WHERE k.n = 2""",
+        "model_bucket_view": f"""{base}, {by_month(SINCE_365)}, cal AS (SELECT strftime(date_trunc('month', make_timestamp({NOW_MS} * 1000)) - to_months(i::INT), '%Y-%m') AS month_key FROM range(0, 12) r(i))
+          SELECT month_key, coalesce(sum(n) OVER (PARTITION BY month_key), 0)::BIGINT AS total, CASE WHEN family IS NOT NULL THEN row_number() OVER (PARTITION BY month_key ORDER BY n DESC, family) - 1 END::INT AS pos,
+            family, n AS msgs FROM cal FULL JOIN b USING (month_key)""",
+        "model_share_by_month": f"""{base}, {by_month(0)}, g AS (SELECT family, sum(n)::BIGINT AS msgs FROM b WHERE month_key >= strftime(make_timestamp({SINCE_365} * 1000), '%Y-%m') GROUP BY family)
+          SELECT family, msgs, round(msgs / sum(msgs) OVER (), 9) AS share, row_number() OVER (ORDER BY CASE family WHEN 'Tools' THEN 1 WHEN 'Unknown' THEN 2 ELSE 0 END, msgs DESC, family)::INT AS rank FROM g""",
+        "shard_text": f"{base}, {own_text} SELECT * FROM st",
+        "legacy_shard_lines": f"{base}, {own_text} SELECT shard, unnest(string_split(text, chr(10))) AS content, NULL::BIGINT AS ts_ms FROM st",
         "yearly_overview": f"{base}, {year} SELECT * FROM y",
         "yearly_metrics": f"""{base}, {year}, {months}, {hours} SELECT y.*, CASE WHEN n_active_days > 0 THEN floor(total_chars / n_active_days * 10 + 0.5) / 10 ELSE 0.0 END AS avg_chars_per_day,
           CASE WHEN assistant_msgs > 0 THEN floor(assistant_chars / assistant_msgs * 10 + 0.5) / 10 ELSE 0.0 END AS avg_assistant_chars,

@@ -22,10 +22,28 @@ def read_shards(spark: SparkSession, path: str, cutoff_ms: int | None = None) ->
     rows = spark.read.option("basePath", path).parquet(path)
     if cutoff_ms is None:
         return rows
-    first = F.date_format(F.timestamp_millis(F.lit(cutoff_ms)), "yyyy-MM")
+    first = month_key(F.lit(cutoff_ms))
     return rows.where((F.col("month") >= first) & (F.col("month") != "none") & (F.col("ts_ms") >= cutoff_ms))
 
 
+def read_shard(spark: SparkSession, path: str, month: str) -> DataFrame:
+    """The messages of one shard; other folders are not opened."""
+    return read_shards(spark, path).where(F.col("month") == month)
+
+
+def legacy_messages(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Shards kept as one text: a message a line, without a time; all other columns stay."""
+    line = F.explode(F.split(F.col(f"`{text_col}`"), "\n")).alias("content")
+    rest = [F.col(f"`{c}`") for c in texts.columns if c not in (text_col, "content", "ts_ms")]
+    return texts.select(*rest, line).withColumn("ts_ms", F.lit(None).cast("long"))
+
+
+def clear_shards(spark: SparkSession, path: str) -> bool:
+    """Delete all shards; whether there were any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shard_catalog(messages: DataFrame, shard: str = "month") -> DataFrame:
     """``shard, size, min_ts, max_ts, message_count``; the size counts UTF-8 bytes and one more a message."""
     size = F.coalesce(F.octet_length("content"), F.lit(0)) + 1
