@@ -29,13 +29,8 @@ END_ID = 0
 
 @dataclass(frozen=True)
 class Bm25:
-    """``common``: tokens in more than this share of all documents do not query; their idf is at most
-    ``ln(1 / common)``. It is a share, so the choice is alike at every size, and which document fills a
-    window is all that depends on it: every document is packed."""
-
     k1: float = 1.2
     b: float = 0.75
-    common: float = 0.1
 
 
 def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,29 +71,42 @@ def document_frequency(tokens: DataFrame) -> np.ndarray:
     return out
 
 
+def idf(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p((total - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """Inverted index of one shard: for each token the documents that hold it and their BM25 weights."""
+    """Inverted index of one shard: for each token the documents that hold it and their BM25 weights.
+
+    Every token is indexed and queries. A token of over an eighth of the shard's documents has
+    its weights in a dense row, which is at most eight times the size of its postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float, how: Bm25):
         self.n = len(docs)
         self.terms: list[np.ndarray] = []
         freq = []
-        rare = df <= how.common * total
         for ids in docs:
             t, c = np.unique(ids, return_counts=True)
-            keep = rare[t]
-            self.terms.append(t[keep].astype(np.int64))
-            freq.append(c[keep])
+            self.terms.append(t.astype(np.int64))
+            freq.append(c)
         sizes = np.array([len(t) for t in self.terms])
         doc = np.repeat(np.arange(self.n), sizes)
         term = np.concatenate(self.terms) if self.n else np.empty(0, np.int64)
         tf = np.concatenate(freq).astype(np.float64) if self.n else np.empty(0)
         length = np.array([len(d) for d in docs], np.float64)
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         norm = how.k1 * (1 - how.b + how.b * length / max(mean, 1.0))
-        weight = idf[term] * tf * (how.k1 + 1) / (tf + norm[doc])
+        weight = (idf(df, total)[term] * tf * (how.k1 + 1) / (tf + norm[doc])).astype(np.float32)
+        here = np.bincount(term, minlength=1 << 16)
+        often = np.flatnonzero(here * 8 > self.n)
+        self.row = np.full(1 << 16, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        thick = self.row[term] >= 0
+        self.dense[self.row[term[thick]], doc[thick]] = weight[thick]
+        doc, term, weight = doc[~thick], term[~thick], weight[~thick]
         by = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by], weight[by].astype(np.float32)
+        self.doc, self.weight = doc[by], weight[by]
         self.start = np.searchsorted(term[by], np.arange((1 << 16) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -108,7 +116,8 @@ class Index:
         size = b - a
         total = int(size.sum())
         at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total) if total else np.empty(0, np.int64)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        rows = self.row[t]
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.dense[rows[rows >= 0]].sum(axis=0)
 
 
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from parlance.llm import fingerprints, licenses, mixing, neighbours, queries, sharding, simhash, suffix, toxicity
+from parlance.llm import fingerprints, licenses, mixing, neighbours, packing, queries, sharding, simhash, suffix, toxicity
 
 SF = "/root/testdata/sf0.01"
 NAMES = queries.queries()
@@ -161,6 +161,20 @@ def test_op7_round_trip(spark, texts, library):
     assert filled.max() <= 1024 and (1024 * len(filled) - filled.sum()) < 0.02 * filled.sum()
 
 
+def test_op7_common_tokens_are_searched():
+    docs = [np.array(x, "<u2") for x in ([5, 6, 7, 0], [8, 9, 0], [5, 6, 7, 0], [5, 6, 7, 0])]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16).astype(float)
+    mean = sum(map(len, docs)) / len(docs)
+    index = packing.Index(docs, df, len(docs), mean, packing.Bm25())
+    for seed, ids in enumerate(docs):
+        want = [
+            sum(np.log1p((4 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 * (d == t).sum() / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(ids.tolist()))
+            for d in docs
+        ]
+        np.testing.assert_allclose(index.scores(seed), want, rtol=1e-5)
+    assert [row for row, *_ in packing.fill(docs, index)] == [0, 2, 3, 1]
+
+
 def test_op8_totals(spark, texts):
     got = NAMES["op8_cube_mixing"](spark, SF).toPandas()
     assert len(got) == len(texts)
