@@ -1,10 +1,13 @@
 """Lexical retrieval packing with a sharded BM25 inverted index.
 
-Documents are dealt to shards of bounded size by hash. A shard's task builds an inverted
-index over its documents; the document frequencies behind the weights are exact counts over
-all documents, by token id, so they fit in an array of the vocabulary's size. From a seed
-document, BM25 ranks the unused documents of the shard, and the best fill the seed's window
-one after the other. A document that does not fit is cut: its rest seeds the next window.
+Documents are dealt to shards of near-equal size by content: a tree of centroids, fitted on a
+sample of BM25 weights that are projected to a few dimensions, gives each document a path, and
+paths in order are cut into shards, so neighbours meet in a shard at any number of shards. A
+shard's task builds an inverted index over its documents; the document frequencies behind the
+weights are exact counts over all documents, by token id, so they fit in an array of the
+vocabulary's size. From a seed document, BM25 ranks the unused documents of the shard, and the
+best fill the seed's window one after the other. A document that does not fit is cut: its rest
+seeds the next window.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, pick
+from parlance.llm.common import discard, materialize, pick
+from parlance.llm.sharding import GROUP_BITS, find_cuts
 from parlance.llm.tokens import WholeEncoder, share, worker_encoder
 
 WINDOW = 1024
 SHARD_TOKENS = 1_000_000
 END_ID = 0
+DIMS = 128
+BRANCH, DEPTH, LEAF_ROWS = 8, 5, 64
+SAMPLE_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -120,6 +127,85 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.dense[rows[rows >= 0]].sum(axis=0)
 
 
+_SIGNS: list[np.ndarray] = []
+
+
+def _signs() -> np.ndarray:
+    if not _SIGNS:
+        _SIGNS.append(np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (1 << 16, DIMS)))
+    return _SIGNS[0]
+
+
+def vector(ids: np.ndarray, rarity: np.ndarray, mean: float, how: Bm25) -> np.ndarray:
+    """BM25 weights of a document's tokens, projected to ``DIMS`` random signs and of length 1."""
+    t, c = np.unique(ids, return_counts=True)
+    w = rarity[t] * c * (how.k1 + 1) / (c + how.k1 * (1 - how.b + how.b * len(ids) / max(mean, 1.0)))
+    x = w.astype(np.float32) @ _signs()[t]
+    return x / max(float(np.sqrt(x @ x)), 1e-9)
+
+
+@dataclass
+class Node:
+    centres: np.ndarray
+    along: np.ndarray
+    below: list[Node | None]
+
+
+def grow(x: np.ndarray, depth: int = DEPTH) -> Node | None:
+    """Tree of centroids by k-means on unit vectors; siblings stand along their main axis."""
+    if depth == 0 or len(x) < LEAF_ROWS:
+        return None
+    rng = np.random.default_rng(len(x))
+    c = x[rng.choice(len(x), BRANCH, replace=False)]
+    for _ in range(12):
+        own = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(BRANCH)])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
+    c = c[np.argsort(c @ axis, kind="stable")]
+    own = (x @ c.T).argmax(axis=1)
+    return Node(c, axis, [grow(x[own == k], depth - 1) if (own == k).sum() < len(x) else None for k in range(BRANCH)])
+
+
+def place(x: np.ndarray, tree: Node | None) -> int:
+    """The path in the tree, then 20 bits of the place along the last node's axis."""
+    path, axis = 0, None
+    for _ in range(DEPTH):
+        k = 0
+        if tree is not None:
+            k, axis = int((tree.centres @ x).argmax()), tree.along
+            tree = tree.below[k]
+        path = path * BRANCH + k
+    along = 0.0 if axis is None else float(axis @ x)
+    return (path << 20) + min((1 << 20) - 1, max(0, int((along + 1) * (1 << 19))))
+
+
+def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -> DataFrame:
+    """``table`` with ``key``: the place of its content, then bits of its hash, so that copies lie together and can be cut."""
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(rarity)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [vector(np.frombuffer(ids, "<u2"), shared.value, mean, how).tobytes() for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["x"])
+
+    # Equal texts count once; the smallest hashes are a random sample that is the same in each run.
+    kinds = table.groupBy(F.xxhash64("ids", F.lit(3)).alias("kind")).agg(F.count("*").alias("copies")).orderBy("kind").limit(SAMPLE_ROWS)
+    some = table.join(F.broadcast(kinds), F.xxhash64("ids", F.lit(3)) == F.col("kind")).dropDuplicates(["kind"]).orderBy("kind")
+    rows = [np.frombuffer(r["x"], np.float32) for r in some.select("ids").mapInArrow(sample, "x binary").collect()]
+    tree = spark.sparkContext.broadcast(grow(np.stack(rows)) if rows else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.array([place(vector(np.frombuffer(ids, "<u2"), shared.value, mean, how), tree.value) for ids in b.column("ids").to_pylist()], np.int64)
+            own = b.column("order").to_numpy() & ((1 << GROUP_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at << GROUP_BITS) | own)], names=[*b.schema.names, "key"])
+
+    kind = table.schema["doc_id"].dataType.simpleString()
+    return table.mapInArrow(run, f"doc_id {kind}, order long, ids binary, n long, key long")
+
+
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Greedy filling: ``(document, start, length, sequence, offset)`` of each piece."""
     unused = np.ones(len(docs), dtype=bool)
@@ -173,7 +259,21 @@ def pack(
     sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     total, mean = int(sums["n"]), sums["tokens"] / max(1, sums["n"])
     shards = max(1, -(-int(sums["tokens"]) // shard_tokens))
-    shared = spark.sparkContext.broadcast(document_frequency(table).astype(np.float64))
+    df = document_frequency(table).astype(np.float64)
+    shared = spark.sparkContext.broadcast(df)
+    starts = np.empty(0, np.int64)
+    if shards > 1:
+        placed = materialize(content_keys(table, idf(df, total), mean, how), "pack-placed")
+        discard(table)
+        table = placed
+        starts = np.array([c.key for c in find_cuts(table.select("key", F.col("n").alias("size")), shards, 0.05)], np.int64)
+    else:
+        table = table.withColumn("key", F.col("order"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = np.searchsorted(starts, b.column("key").to_numpy(), side="right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id"], kind="mergesort").reset_index(drop=True)
@@ -195,7 +295,7 @@ def pack(
         )
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    dealt = table.withColumn("shard", F.pmod("order", F.lit(shards)))
+    dealt = table.mapInArrow(deal, f"doc_id {kind}, order long, ids binary, n long, key long, shard long")
     return dealt.groupBy("shard").applyInPandas(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )

@@ -175,6 +175,26 @@ def test_op7_common_tokens_are_searched():
     assert [row for row, *_ in packing.fill(docs, index)] == [0, 2, 3, 1]
 
 
+def test_op7_shards_hold_neighbours(docs):
+    """Against BM25 over all documents: copies share a shard, and so do far more of the best ten than a deal by hash gives."""
+    path = queries.tokenizer_path()
+    got = packing.pack(docs, path, shard_tokens=50_000).toPandas()
+    shard = (got["sequence_id"] // (1 << 32)).groupby(got["doc_id"]).first()
+    table = packing.token_table(docs, path).toPandas()
+    ids = [np.frombuffer(x, "<u2") for x in table["ids"]]
+    own = shard[table["doc_id"]].to_numpy()
+    df = np.bincount(np.concatenate([np.unique(d) for d in ids]), minlength=1 << 16).astype(float)
+    index = packing.Index(ids, df, len(ids), table["n"].mean(), packing.Bm25())
+    met = []
+    for seed in range(0, len(ids), 5):
+        rank = index.scores(seed)
+        rank[seed] = -1
+        met.append((own[np.argsort(-rank, kind="stable")[:10]] == own[seed]).mean())
+    assert len(set(own)) > 10 and np.mean(met) > 0.15
+    shards = table.assign(own=own, ids=[x.tobytes() for x in ids]).groupby("ids")["own"].agg(["size", "nunique"])
+    assert (shards["nunique"][shards["size"] > 1] == 1).mean() > 0.9
+
+
 def test_op8_totals(spark, texts):
     got = NAMES["op8_cube_mixing"](spark, SF).toPandas()
     assert len(got) == len(texts)
