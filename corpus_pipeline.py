@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import mixing, packing, simhash, suffix, toxicity
+from parlance.llm import minhash, mixing, packing, suffix, toxicity
 from parlance.llm.common import materialize
 from parlance.llm.queries import tokenizer_path
 
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component one document stays: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of documents linked by a similarity of 0.8 over five words one stays: the one with the smallest id."""
+    return minhash.keep_one(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

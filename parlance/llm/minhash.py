@@ -1,0 +1,161 @@
+"""Near-duplicates by Jaccard similarity over word shingles: MinHash bands find candidates, exact sets confirm them.
+
+A band is a hash of ``ROWS`` minima. A pair of similarity s shares a band with a probability of
+1 - (1 - s^4)^20, at 0.8 all but 3 of 100,000 pairs, more above it. Every candidate pair is then
+compared by its whole sets. Texts with equal sets are one node, so copies make no pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parlance.llm.common import bound_batches, discard, materialize, pick, shuffle_parts
+from parlance.llm.components import connected_components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 4
+SEED = 42
+#: A bucket with more nodes is dealt out once more by the bands of a second family.
+BUCKET_ROWS = 200
+
+_rng = np.random.default_rng(5)
+_MULTIPLIERS = _rng.integers(1, 1 << 63, (2 * BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the different runs of ``n`` lower-cased words; a shorter text is one run."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    runs = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(r, SEED) for r in runs], np.uint64))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """Minima under two families of ``BANDS * ROWS`` permutations."""
+    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[None, at : at + 1024] * _MULTIPLIERS
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.minimum(low, x.min(axis=1))
+    return low
+
+
+def _bands(low: np.ndarray) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(low.reshape(-1, ROWS))]
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = {"text_key": b.column("text_key"), "node": [], "grams": [], "first": [], "second": []}
+        for t in b.column("text").to_pylist():
+            h = shingles(t)
+            bands = _bands(minima(h))
+            rows["node"].append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+            rows["grams"].append(h.tobytes())
+            rows["first"].append(bands[:BANDS])
+            rows["second"].append(bands[BANDS:])
+        yield pa.RecordBatch.from_arrays([rows["text_key"], pa.array(rows["node"], pa.int64()), pa.array(rows["grams"], pa.binary()), *(pa.array(rows[c], pa.list_(pa.int64())) for c in ("first", "second"))], names=list(rows))
+
+
+def _confirm(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in "uv"], names=["u", "v"])
+
+    return run
+
+
+def candidates(signed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes that share a band; ``signed`` has ``node, first, second``, rows of a node may repeat.
+
+    A bucket over ``bucket_rows`` is dealt out again by the second family. One that stays as
+    large is a dense group: there each node is paired with the next ``bucket_rows`` in two orders.
+    """
+    n = shuffle_parts(signed.sparkSession)
+    dealt = signed.select("node", F.posexplode("first").alias("k", "band"))
+    one = materialize(dealt.select(F.xxhash64("k", "band").alias("bucket"), "node").distinct(), "minhash-bands")
+    sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    small = one.join(sizes.where(F.col("n") <= bucket_rows).select("bucket"), "bucket").select("bucket", "node")
+    again = one.join(sizes.where(F.col("n") > bucket_rows).select("bucket"), "bucket").join(signed.select("node", "second").dropDuplicates(["node"]), "node")
+    again = again.select(F.col("bucket").alias("outer"), "node", F.posexplode("second").alias("k", "band"))
+    rows = small.unionByName(again.select(F.xxhash64("outer", "k", "band").alias("bucket"), "node"))
+
+    def pairs(bucket: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            x = node[a:b]
+            mixed = [x] if len(x) <= bucket_rows else [x, x[np.argsort(x * np.int64(0x9E3779B97F4A7C1 | 1), kind="stable")]]
+            for y in mixed:
+                for step in range(1, min(len(y), bucket_rows + 1)):
+                    yield np.minimum(y[:-step], y[step:]), np.maximum(y[:-step], y[step:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, node = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def emit(bucket, node):
+            got, held = [], 0
+            for u, v in pairs(bucket, node):
+                got.append((u, v))
+                held += len(u)
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["u", "v"])
+                    got, held = [], 0
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["u", "v"])
+
+        for b in batches:
+            bucket = np.concatenate([bucket, b.column("bucket").to_numpy()])
+            node = np.concatenate([node, b.column("node").to_numpy()])
+            if len(bucket) and bucket[0] != bucket[-1]:
+                cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1  # the last bucket may go on
+                yield from emit(bucket[:cut], node[:cut])
+                bucket, node = bucket[cut:], node[cut:]
+        if len(bucket):
+            yield from emit(bucket, node)
+
+    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "node")
+    return rows.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component of pairs of ``similarity`` one row stays.
+
+    It is the row with the smallest id, nulls last, ties to the smaller text hash; of rows equal
+    in both, one stays. Null texts count as empty; texts without words are alike. All columns
+    are returned as they are.
+    """
+    bound_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    slim = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+    kinds = slim.groupBy("text_key").agg(F.first("text").alias("text"))
+    signed = materialize(kinds.mapInArrow(_sign, "text_key long, node long, grams binary, first array<long>, second array<long>"), "minhash")
+    found = materialize(candidates(signed.select("node", "first", "second")), "minhash-pairs")
+    met = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+    sets = signed.select("node", "grams").join(met, "node", "left_semi").dropDuplicates(["node"])
+    both = found.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    parts = connected_components(both.select("u", "v", "a", "b").mapInArrow(_confirm(similarity), "u long, v long"))
+    rooted = signed.select("text_key", "node").join(parts, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    best = materialize(slim.select("doc_id", "text_key").join(rooted, "text_key").groupBy("root").agg(F.min(order).alias("best")), "minhash-best")
+    discard(signed, found)
+    stay = best.select(F.xxhash64("best.none", "best.id", "best.key").alias("__row"), F.col("best.key").alias("__key"))
+    own = F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).withColumn("__row", own)
+    out = keyed.join(stay, ["__row", "__key"], "left_semi")
+    repeated = slim.groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["__row", "__key"])
+    return out.drop("__row", "__key")

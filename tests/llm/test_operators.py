@@ -4,13 +4,14 @@ import hashlib
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from parlance.llm import fingerprints, licenses, mixing, neighbours, packing, queries, sharding, simhash, suffix, toxicity
+from parlance.llm import fingerprints, licenses, minhash, mixing, neighbours, packing, queries, sharding, simhash, suffix, toxicity
 
 SF = "/root/testdata/sf0.01"
 NAMES = queries.queries()
@@ -286,3 +287,47 @@ def test_op10_oversize_buckets_lose_no_link(spark):
 
     one, two = (sorted(map(tuple, connected_components(simhash.links(table, 4, most)).collect())) for most in (100_000, 3))
     assert one == two
+
+
+def test_pipeline_near_copies_match_brute_force(spark, docs, texts):
+    """One text with every 60th word changed: a similarity over 0.8, but more than 4 bits of SimHash in some."""
+    rng = np.random.default_rng(2)
+    made = {}
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        made[10_000_000 + 2 * k] = " ".join(words)
+        made[10_000_001 + 2 * k] = " ".join("changed" if i % 60 == 30 else w for i, w in enumerate(words))
+    rows = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs.select("doc_id", "text").unionByName(rows), SF).collect()}
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in ((d, t.encode().lower().split()) for d, t in (texts | made).items())}
+    kinds: dict[frozenset, list[int]] = {}
+    for d, x in sets.items():
+        kinds.setdefault(x, []).append(d)
+    root = {x: x for x in kinds}
+
+    def find(x):
+        while root[x] is not x:
+            x = root[x]
+        return x
+
+    holds: dict[tuple, list[frozenset]] = {}
+    for x in kinds:
+        for g in x:
+            holds.setdefault(g, []).append(x)
+    shared = Counter((id(a), id(b)) for xs in holds.values() for i, a in enumerate(xs) for b in xs[i + 1 :])
+    by = {id(x): x for x in kinds}
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(by[a]) + len(by[b]) - n):
+            root[find(by[a])] = find(by[b])
+    low: dict[frozenset, int] = {}
+    for x, ds in kinds.items():
+        low[find(x)] = min(*ds, low.get(find(x), 1 << 60))
+    assert kept == set(low.values())
+    assert not any(d % 2 for d in kept if d >= 10_000_000)
+
+
+def test_pipeline_dense_groups_stay_linked(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(300)]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [0]
