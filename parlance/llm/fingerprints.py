@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import pick, shuffle_parts
 
-SLOTS = 32
+SLOTS = 48
 SPACE = " \t\n\x0b\f\r"
 
 

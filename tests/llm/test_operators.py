@@ -241,6 +241,10 @@ def test_op9_digests_and_likeness(spark, texts):
     assert len(got.fingerprint[0]) == 4 * fingerprints.SLOTS
 
 
+def test_op9_slots_keep_the_standard_error():
+    assert fingerprints.SLOTS >= 48  # sqrt(0.8 * 0.2 / 48) = 0.058
+
+
 def _simhash(text):
     words = text.encode().lower().split()
     grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
