@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import minhash, mixing, packing, suffix, toxicity
+from parlance.llm import mixing, packing, simhash, suffix, toxicity
 from parlance.llm.common import materialize
 from parlance.llm.queries import tokenizer_path
 
-#: Repeats of this many bytes and words are cut: a passage of over 50 words, with short words too.
-PASSAGE = suffix.Repeats(length=160, anchor=32)
-PASSAGE_WORDS = 50
+#: A repeated run of 50 words, or of 400 bytes in whatever script, is a passage; runs are searched from 160 bytes on.
+PASSAGE = suffix.Passages(words=50, long=400, length=160)
+#: Shingles of five words, a Jaccard similarity of 0.8 as SimHash measures it.
+NEAR = simhash.similar(0.8, shingle=5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 over five words one stays: the one with the smallest id."""
-    return minhash.keep_one(docs)
+    return simhash.keep_one(docs, how=NEAR)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that repeat are cut wherever they stand; documents left blank go."""
-    cut = suffix.cut_repeats(docs, PASSAGE, least_words=PASSAGE_WORDS)
+    """Passages that repeat are cut wherever they stand; documents left blank go.
+
+    Null and empty texts stay, and so does a document whose text was blank before. No rows give no rows.
+    """
+    cut = suffix.cut_repeats(docs, suffix.Repeats(length=PASSAGE.length), PASSAGE)
     return cut.withColumn("n_chars", F.char_length("text").cast(cut.schema["n_chars"].dataType))
 
 

@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -15,11 +18,14 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder made.
+    Only where a local session names none (tests) is a temporary folder made; on a cluster,
+    where executors would not share it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="parlance-scratch-")
@@ -58,10 +64,45 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[docs[f"`{src}`"].alias(dst) for dst, src in cols.items()])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names made from ``names`` that no column of ``docs`` has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(id_: Column, text_key: Column) -> Column:
+    """A 64-bit name of a row with this id (null included) and text hash."""
+    return F.xxhash64(id_.isNull(), id_, text_key)
+
+
+ROWS_CONF, BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
-    """Bound what goes to a Python worker at once; the default of 10,000 rows is too much for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bound what goes to a Python worker at once; the default of 10,000 rows is too much for long texts.
+
+    The bound stays in the session, as a result that is read later still sends texts to workers.
+    """
+    spark.conf.set(ROWS_CONF, str(rows))
+    spark.conf.set(BYTES_CONF, str(size))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+    """Larger batches for the small rows that are written inside the block; afterwards the session is as before."""
+    before = {c: spark.conf.get(c) for c in (ROWS_CONF, BYTES_CONF)}
+    bound_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

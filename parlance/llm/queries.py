@@ -61,8 +61,8 @@ def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
-    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"), how=simhash.Sketch(shingle=4, bits=64, radius=4))
+    return found.select("doc_id", simhash.as_hex(F.col("f0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,8 +13,10 @@ is measured; from there along the text the length falls by one a byte until the
 which is how LCP values behave inside runs. The same holds for the suffix after, from the run
 ends. Positions with a match of ``length`` or more are marked. Repetitive pieces have few runs.
 
-An anchor with more bytes of different pieces than a task should hold is dealt out by window:
-its windows are counted by 128-bit hash, which splits any group and is exact as well.
+An anchor with more bytes of different pieces than a task should hold is split by a second
+anchor: its pieces are cut again under another hash, and the parts meet in groups of both
+anchors, in indexes like the others. What is hot after ``levels`` such cuts (windows that lie in
+one common passage almost wholly) is counted by 128-bit hash of the window, exact as well.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bound_batches, materialize, pick, scratch_path, shuffle_parts
+from parlance.llm.common import bound_batches, discard, fresh, materialize, pick, scratch_path, shuffle_parts
+from parlance.llm.components import join_hot
 
 #: Fixed odd constants of the rolling hash and its finish.
 BASE, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -40,22 +43,40 @@ MASK = (1 << 64) - 1
 @dataclass(frozen=True)
 class Repeats:
     """``length``: bytes of a match; ``anchor``: bytes of an anchor string; ``index_bytes``: one
-    index's target; ``hot_bytes``: an anchor with more bytes of different pieces is dealt out by window."""
+    index's target; ``hot_bytes``: an anchor with more bytes of different pieces is split by a further
+    anchor, at most ``levels`` times."""
 
     length: int = 400
     anchor: int = 32
     index_bytes: int = 500_000
     hot_bytes: int = 2_000_000
     chunk: int = 1 << 18
+    levels: int = 3
 
 
-def _rolling(buffer: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes at each position; k is a power of two."""
+@dataclass(frozen=True)
+class Passages:
+    """A repeated run is a passage if it has ``words`` words, or ``long`` bytes in whatever script.
+
+    Repeats are looked for from ``length`` bytes on, so a passage of ``words`` words that is shorter is not seen.
+    """
+
+    words: int = 50
+    long: int = 400
+    length: int = 160
+
+    def holds(self, run: bytes) -> bool:
+        return len(run) >= self.long or len(run.split()) >= self.words
+
+
+def _rolling(buffer: np.ndarray, k: int, level: int = 0) -> np.ndarray:
+    """Hash of the k bytes at each position, another one at each level; k is a power of two."""
     h = buffer.astype(np.uint64) + np.uint64(1)
     base, step = BASE, 1
     while step < k:
         h = h[:-step] * np.uint64(base) + h[step:]
         base, step = base * base & MASK, step * 2
+    h += np.uint64(level * FINISH & MASK)
     h ^= h >> np.uint64(29)
     h *= np.uint64(FINISH)
     h ^= h >> np.uint64(32)
@@ -72,7 +93,7 @@ def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[bytes], how: Repeats) -> Iterator[tuple[np.ndarray, ...]]:
+def pieces(texts: list[bytes], how: Repeats, level: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """``text number, start, bytes, anchor hash`` of the pieces of the texts, chunk by chunk, and their bytes.
 
     A chunk holds several texts or a part of a long one; a part overlaps the next by
@@ -86,18 +107,18 @@ def pieces(texts: list[bytes], how: Repeats) -> Iterator[tuple[np.ndarray, ...]]
             held.append((no, at, part))
             size += len(part)
             if size >= how.chunk:
-                yield _chunk_pieces(held, how)
+                yield _chunk_pieces(held, how, level)
                 held, size = [], 0
             if part is text:
                 break
     if held:
-        yield _chunk_pieces(held, how)
+        yield _chunk_pieces(held, how, level)
 
 
-def _chunk_pieces(held: list[tuple[int, int, bytes]], how: Repeats) -> tuple[np.ndarray, ...]:
+def _chunk_pieces(held: list[tuple[int, int, bytes]], how: Repeats, level: int) -> tuple[np.ndarray, ...]:
     raw = b"".join(p for _, _, p in held)
     buffer = np.frombuffer(raw, np.uint8)
-    h = _rolling(buffer, how.anchor)
+    h = _rolling(buffer, how.anchor, level)
     low = np.uint64((1 << 24) - 1)
     keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     where = (_smallest(keys, how.length - how.anchor + 1) & low).astype(np.int64)
@@ -279,8 +300,11 @@ def _windows(how: Repeats):
     return run
 
 
-def _text_table(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
-    """Each different text once, with its 128-bit key and count, bucketed by key: joins on the key do not move it."""
+def _text_table(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each different text once, with its 128-bit key and count, bucketed by key: joins on the key do not move it.
+
+    The table is registered only while it is written; its files stay for what reads them later.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keyed = pick(docs, text=text_col).select(*_keys(F.col("text")), text.alias("text"))
@@ -288,7 +312,9 @@ def _text_table(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     name = f"parlance_texts_{uuid.uuid4().hex}"
     writer = once.write.option("path", scratch_path(spark, "texts")).option("compression", "zstd")
     writer.bucketBy(shuffle_parts(spark), "k1", "k2").saveAsTable(name)
-    return spark.table(name), name
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _keys(text) -> list:
@@ -296,65 +322,123 @@ def _keys(text) -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text, F.lit(29)).alias("k2")]
 
 
-def repeated_spans(docs: DataFrame, how: Repeats = Repeats(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(texts, covers)``: the table of different texts ``k1, k2, text, n`` and, for those with repeats,
-    ``k1, k2, spans array<struct<low, high>>`` (bytes, not merged yet)."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts, _ = _text_table(docs, text_col)
+def _gathered(covers: DataFrame) -> DataFrame:
+    """``k1, k2, low, high`` as ``k1, k2, spans array<struct<low, high>>``."""
+    return covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+
+
+def repeated_spans(holders: DataFrame, how: Repeats, level: int = 0) -> DataFrame:
+    """``k1, k2, low, high``: bytes of the holders ``k1, k2, text, n`` that lie in repeats; spans may overlap.
+
+    ``n`` is how often a text stands in the corpus. From level 1 on holders are pieces of hot
+    anchors (``k1`` is the anchor), whose parts meet only inside their anchor's group.
+    """
+    spark = holders.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2, times = (b.column(c).to_numpy() for c in ("k1", "k2", "n"))
-            for no, start, length, anchor, same in pieces([t.as_py() for t in b.column("text")], how):
+            for no, start, length, anchor, same in pieces([t.as_py() for t in b.column("text")], how, level):
+                if level:
+                    anchor = (anchor ^ k1[no].view(np.uint64)) * np.uint64(FINISH)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(same.view(np.int64)), pa.array(k1[no]), pa.array(k2[no]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(times[no])],
                     names=["anchor", "same", "k1", "k2", "start", "size", "n"],
                 )
 
-    long_ = texts.where(F.octet_length("text") >= how.length).select("k1", "k2", "text", "n")
+    long_ = holders.where(F.octet_length("text") >= how.length).select("k1", "k2", "text", "n")
     every = materialize(long_.mapInArrow(cut, "anchor long, same long, k1 long, k2 long, start int, size int, n long"), "pieces")
     again = (
         every.groupBy("anchor")
-        .agg(F.sum("n").alias("times"), F.min("same").alias("s0"), F.max("same").alias("s1"))
+        .agg(F.sum("n").alias("times"), F.min("same").alias("s0"), F.max("same").alias("s1"), F.count("*").alias("rows"))
         .where("times > 1")
-        .select("anchor", (F.col("s0") != F.col("s1")).alias("varied"))
+        .select("anchor", (F.col("s0") != F.col("s1")).alias("varied"), F.col("rows").alias("n"))
     )
-    # Written first, so that the join gets exchanges of its own, whose hot partitions can be split.
-    found = materialize(every.join(materialize(again, "repeated-anchors"), "anchor"), "repeated-pieces")
+    again = materialize(again, "repeated-anchors")
+    found = materialize(join_hot(every.withColumnRenamed("n", "times"), again, "anchor", every.count()).drop("n"), "repeated-pieces")
+    discard(every, again)
     alike = found.where("not varied").select("k1", "k2", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
 
     varied = found.where("varied")
-    kinds = materialize(
-        varied.groupBy("anchor", "same").agg(F.sum("n").alias("times"), F.min(F.struct("k1", "k2", "start", "size")).alias("one")), "piece-kinds"
-    )
-    groups = kinds.groupBy("anchor").agg(F.sum(F.col("one.size") + 1).alias("bytes"))
+    kinds = varied.groupBy("anchor", "same").agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"))
+    kinds = materialize(kinds, "piece-kinds")
+    groups = kinds.groupBy("anchor").agg(F.sum(F.col("one.size") + 1).alias("bytes"), F.count("*").alias("n"))
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     indexes = max(1, -(-int(total) // how.index_bytes))
-    hot = groups.where(F.col("bytes") > how.hot_bytes).select("anchor", F.lit(True).alias("hot"))
+    hot = materialize(groups.where(F.col("bytes") > how.hot_bytes).select("anchor"), "hot-anchors")  # at most total / hot_bytes rows
     any_hot = not hot.isEmpty()
-    marked = kinds.join(hot, "anchor", "left") if any_hot else kinds.withColumn("hot", F.lit(None).cast("boolean"))
+    marked = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left") if any_hot else kinds.withColumn("hot", F.lit(False))
     wanted = marked.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(
-        F.collect_list(F.struct("anchor", "same", F.col("one.start").alias("start"), F.col("one.size").alias("size"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want")
+        F.collect_list(F.struct("anchor", "same", "times", F.col("one.start").alias("start"), F.col("one.size").alias("size"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want")
     )
     body = F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.size"))
-    bodies = texts.join(wanted, ["k1", "k2"]).select("text", F.explode("want").alias("w")).select("w.anchor", "w.same", "w.hot", body.alias("body"))
+    bodies = holders.join(wanted, ["k1", "k2"]).select("text", F.explode("want").alias("w")).select("w.anchor", "w.same", "w.times", "w.hot", body.alias("body"))
     if any_hot:
         bodies = materialize(bodies, "piece-bodies")
-    parts = max(shuffle_parts(spark), 1)
     cool = bodies.where("not hot").select(F.pmod(F.xxhash64("anchor"), F.lit(indexes)).alias("bucket"), "anchor", "same", "body")
-    cool = cool.repartition(parts, "bucket").sortWithinPartitions("bucket", "anchor", "same")
+    cool = cool.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket", "anchor", "same")
     covers = cool.mapInArrow(_index_pieces(how), _COVER)
     if any_hot:
-        each = materialize(bodies.where("hot").select("anchor", "same", "body").mapInArrow(_windows(how), "anchor long, same long, at int, w1 long, w2 long"), "hot-windows")
-        twice = each.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-        hits = each.join(twice, ["w1", "w2"]).groupBy("anchor", "same").agg(F.min("at").alias("low"), (F.max("at") + how.length).cast("int").alias("high"))
+        rows = bodies.where("hot")
+        if level < how.levels:
+            inner = rows.select(F.col("anchor").alias("k1"), F.col("same").alias("k2"), F.col("body").alias("text"), F.col("times").alias("n"))
+            hits = repeated_spans(inner, how, level + 1).select(F.col("k1").alias("anchor"), F.col("k2").alias("same"), "low", "high")
+        else:
+            each = materialize(rows.select("anchor", "same", "body").mapInArrow(_windows(how), "anchor long, same long, at int, w1 long, w2 long"), "hot-windows")
+            twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+            hits = join_hot(each, twice, ["w1", "w2"], each.count()).select("anchor", "same", F.col("at").alias("low"), (F.col("at") + how.length).alias("high"))
         covers = covers.unionByName(hits)
     whole = kinds.where("times > 1").select("anchor", "same", F.lit(0).alias("low"), F.col("one.size").alias("high"))
-    covers = materialize(covers.unionByName(whole).groupBy("anchor", "same").agg(F.min("low").alias("low"), F.max("high").alias("high")), "covers")
-    placed = varied.join(covers, ["anchor", "same"]).select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    spans = alike.unionByName(placed).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return texts, spans
+    # All windows of a piece hold its anchor, so what they cover is one span.
+    covers = covers.unionByName(whole).groupBy("anchor", "same").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    covers = materialize(kinds.select("anchor", "same", "n").join(covers, ["anchor", "same"]), "covers")
+    placed = join_hot(varied, covers, ["anchor", "same"], varied.count())
+    placed = placed.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    done = materialize(alike.unionByName(placed), "repeats")
+    discard(found, kinds, hot, covers, *([bodies] if any_hot else []))
+    return done
+
+
+def _runs(length: int):
+    """Merged spans of ``length`` bytes or more with their bytes: ``k1, k2, at, p1, p2, n, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k1, k2, n, text, spans in zip(*(b.column(c) for c in ("k1", "k2", "n", "text", "spans")), strict=True):
+                found = merge_spans(np.array([(s["low"], s["high"]) for s in spans.as_py()], np.int64).reshape(-1, 2))
+                found = found[found[:, 1] - found[:, 0] >= length]
+                if not len(found):
+                    continue
+                text = text.as_py()
+                parts = [text[a:z] for a, z in found.tolist()]
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in parts), "<i8").reshape(-1, 2)
+                same = lambda x: pa.array(np.full(len(parts), x.as_py(), np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [same(k1), same(k2), pa.array(found[:, 0].astype(np.int32)), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), same(n), pa.array(parts, pa.binary())],
+                    names=["k1", "k2", "at", "p1", "p2", "n", "text"],
+                )
+
+    return run
+
+
+def spans_inside(texts: DataFrame, outer: DataFrame, how: Repeats) -> DataFrame:
+    """Spans of ``how.length`` bytes, looked for only where shorter strings repeat: ``outer(k1, k2, spans)``.
+
+    All shorter strings inside a repeat are repeats too, so each lies whole in a merged span of
+    the outer ones. Equal spans are searched once.
+    """
+    schema = "k1 long, k2 long, at int, p1 long, p2 long, n long, text binary"
+    runs = materialize(texts.join(outer, ["k1", "k2"]).mapInArrow(_runs(how.length), schema), "outer-runs")
+    kinds = runs.groupBy("p1", "p2").agg(F.first("text").alias("text"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    kinds = materialize(kinds, "outer-kinds")
+    inner = repeated_spans(kinds.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), "text", "n"), how)
+    found = _gathered(inner).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "spans")
+    found = materialize(found.join(kinds.select("p1", "p2", F.col("rows").alias("n")), ["p1", "p2"]), "outer-found")
+    placed = join_hot(runs.select("k1", "k2", "at", "p1", "p2"), found, ["p1", "p2"], runs.count())
+    placed = placed.select("k1", "k2", "at", F.explode("spans").alias("s"))
+    done = materialize(placed.select("k1", "k2", (F.col("at") + F.col("s.low")).alias("low"), (F.col("at") + F.col("s.high")).alias("high")), "inner-repeats")
+    discard(runs, kinds, inner, found)
+    return done
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -387,59 +471,85 @@ def _whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _rewrite(want_text: bool, least_words: int):
+def _merged(spans: pa.Scalar) -> np.ndarray:
+    return merge_spans(np.array([(s["low"], s["high"]) for s in spans.as_py() or []], np.int64).reshape(-1, 2))
+
+
+def _digests(passages: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {"k1": [], "k2": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"kept": []} if want_text else {})
-            for k1, k2, text, spans in zip(*(b.column(c) for c in ("k1", "k2", "text", "spans")), strict=True):
-                text, spans = text.as_py(), spans.as_py() or []
-                found = merge_spans(np.array([(s["low"], s["high"]) for s in spans], np.int64).reshape(-1, 2))
-                if least_words:
-                    found = np.array([s for s in found.tolist() if len(text[s[0] : s[1]].split()) >= least_words], np.int64).reshape(-1, 2)
-                if want_text:
-                    found = _whole_characters(text, found)
+            rows = {c: [] for c in ("k1", "k2", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")}
+            for k1, k2, text, spans, outer in zip(*(b.column(c) for c in ("k1", "k2", "text", "spans", "outer")), strict=True):
+                text = text.as_py()
+                found = _merged(spans)
                 kept = _keep(text, found)
-                rows["k1"].append(k1.as_py())
-                rows["k2"].append(k2.as_py())
-                rows["n_removed"].append(len(text) - len(kept))
-                rows["n_spans"].append(len(found))
-                rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if want_text:
-                    rows["kept"].append(kept.decode("utf-8", "replace"))
+                runs = [r for r in (text[a:z] for a, z in _merged(outer).tolist()) if passages.holds(r)]
+                values = (k1.as_py(), k2.as_py(), len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), len(runs), sum(map(len, runs)))
+                for c, v in zip(rows, values, strict=True):
+                    rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row after removal of all repeats.
+def _cut_texts(passages: Passages):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = {"k1": [], "k2": [], "kept": [], "blank": []}
+            for k1, k2, text, spans in zip(*(b.column(c) for c in ("k1", "k2", "text", "spans")), strict=True):
+                text = text.as_py()
+                found = [s for s in _merged(spans).tolist() if passages.holds(text[s[0] : s[1]])]
+                found = _whole_characters(text, np.array(found, np.int64).reshape(-1, 2))
+                if len(found):
+                    kept = _keep(text, found).decode("utf-8", "replace")
+                    for c, v in zip(rows, (k1.as_py(), k2.as_py(), kept, not kept.strip()), strict=True):
+                        rows[c].append(v)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kept", pa.string()), ("blank", pa.bool_())]))
+
+    return run
+
+
+def remove_repeats(
+    docs: DataFrame, how: Repeats = Repeats(), passages: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes`` of each row.
 
     Every byte covered by a string of ``how.length`` bytes that also starts anywhere else in
-    the table goes, in all its places, judged on the texts as they came. A null text counts
-    as empty; rows that repeat are copies of each other, so a repeated row of ``how.length``
-    bytes or more goes whole. No rows give no rows.
+    the table goes, in all its places, judged on the texts as they came. ``n_passages`` and
+    ``passage_bytes`` count the repeated runs that are ``passages``; they may be shorter than
+    ``how.length`` and then stay. A null text counts as empty; rows that repeat are copies of
+    each other, so a repeated row of ``how.length`` bytes or more goes whole. Very long texts
+    are cut into overlapping parts for the search and lose no match. Other columns take no part,
+    whatever their names. No rows give no rows.
     """
-    texts, spans = repeated_spans(docs, how, text_col)
+    bound_batches(docs.sparkSession)
+    texts = _text_table(docs, text_col)
+    short = Repeats(min(passages.length, how.length), how.anchor, how.index_bytes, how.hot_bytes, how.chunk, how.levels)
+    outer = materialize(_gathered(repeated_spans(texts, short)), "outer-spans")
+    spans = materialize(_gathered(spans_inside(texts, outer, how)), "inner-spans")
     slim = pick(docs, doc_id=id_col, text=text_col)
     mine = slim.select("doc_id", *_keys(F.col("text")), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = texts.select("k1", "k2", "text").join(spans, ["k1", "k2"], "left")
-    done = joined.mapInArrow(_rewrite(False, 0), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
-    return mine.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    joined = texts.select("k1", "k2", "text").join(outer.withColumnRenamed("spans", "outer"), ["k1", "k2"], "left").join(spans, ["k1", "k2"], "left")
+    kind = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    done = joined.mapInArrow(_digests(passages), kind)
+    return mine.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
-def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), text_col: str = "text", least_words: int = 0) -> DataFrame:
-    """``docs`` with repeats cut out of the text, at whole characters, all other columns as they are.
+def cut_repeats(docs: DataFrame, how: Repeats = Repeats(160), passages: Passages = Passages(), text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut out of the text, at whole characters, all other columns as they are, whatever their names.
 
-    Only removed runs of ``least_words`` words or more are cut. Texts of which nothing but
-    white space is left are dropped; a null or empty text stays as it is.
+    Repeats of ``how.length`` bytes are searched, and of the merged runs those that are
+    ``passages`` are cut in all their places. Texts of which nothing but white space is left are
+    dropped; a null or empty text stays as it is. Rows that repeat are copies of each other and
+    go if they are passages. No rows give no rows.
     """
-    texts, spans = repeated_spans(docs, how, text_col)
-    kind = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    done = texts.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_rewrite(True, least_words), kind)
-    done = done.where("n_removed > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "kept")
+    bound_batches(docs.sparkSession)
+    texts = _text_table(docs, text_col)
+    spans = _gathered(repeated_spans(texts, how))
+    done = texts.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut_texts(passages), "k1 long, k2 long, kept string, blank boolean")
+    first, second, kept, blank = fresh(docs, "k1", "k2", "kept", "blank")
+    done = done.select(F.col("k1").alias(first), F.col("k2").alias(second), F.col("kept").alias(kept), F.col("blank").alias(blank))
     text = F.col(f"`{text_col}`")
     k1, k2 = _keys(text)
-    keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
-    out = keyed.join(done.withColumnRenamed("kept", "__kept"), ["__k1", "__k2"], "left")
-    out = out.where(F.col("__kept").isNull() | (F.trim("__kept") != ""))
-    return out.select(*[(F.coalesce("__kept", text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    out = docs.withColumn(first, k1).withColumn(second, k2).join(done, [first, second], "left").where(~F.coalesce(F.col(blank), F.lit(False)))
+    return out.select(*[(F.coalesce(F.col(kept), text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
