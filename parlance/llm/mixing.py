@@ -15,11 +15,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bound_batches, materialize, pick
+from parlance.llm.common import bound_batches, fresh, materialize, pick
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
@@ -27,6 +27,8 @@ BLOCK_ROWS = 4096
 #: Documents of a block that wait for the largest ones.
 RESERVE = 256
 EPS = 1e-9
+#: Targets are made at the driver and broadcast; more sources than this raise an error.
+MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,9 +61,12 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """``source, source_size, target`` of each source of ``rows(source, size)``.
 
     Sources are ordered by code point (UTF-8 order), null last. The list of sources is
-    gathered at the driver: it grows with the number of sources, not of documents.
+    gathered at the driver; more than ``MOST_SOURCES`` of them raise an error.
     """
-    sums = [(r["source"], int(r["size"])) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: the column names no mix")
+    sums = [(r["source"], int(r["size"])) for r in found]
     sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
     aims = targets([s for _, s in sums], [weights[i % len(weights)] for i in range(len(sums))], most)
     table = [(name, i, size, aim) for i, ((name, size), aim) in enumerate(zip(sums, aims, strict=True))]
@@ -142,11 +147,14 @@ def _land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _walker(last: bool):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "size"], kind="mergesort").reset_index(drop=True)
-        size = pdf["size"].to_numpy(dtype=np.float64)
-        p = _flight(pdf["p"].to_numpy(dtype=np.float64), size)
-        return pdf.assign(p=_land(p, size) if last else p)
+    def walk(rows: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: a pandas column of long with a null would round them.
+        order, size, p = (rows.column(c).to_numpy() for c in ("order", "size", "p"))
+        by = np.lexsort((size, order))
+        size = size[by].astype(np.float64)
+        p = _flight(p[by], size)
+        rows = rows.take(pa.array(by))
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(_land(p, size) if last else p))
 
     return walk
 
@@ -201,7 +209,7 @@ def _levels(spark: SparkSession, rows: DataFrame, counts: dict[int, int], block_
         blocks = spark.createDataFrame([(s, max(1, -(-n // block_rows))) for s, n in sorted(counts.items())], "source_no int, blocks int")
         dealt = rows.drop("block").join(F.broadcast(blocks), "source_no")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("order", F.lit(level)), F.col("blocks"))).drop("blocks")
-        moved = dealt.groupBy("source_no", "block").applyInPandas(_walker(last), dealt.schema)
+        moved = dealt.groupBy("source_no", "block").applyInArrow(_walker(last), dealt.schema)
         if last:
             return _union([*settled, moved])
         out = materialize(moved, f"mix-level{level}")
@@ -223,19 +231,33 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    drawn = cube_mix(docs, id_col, text_col, source_col)
-    row = lambda d, k, s: F.xxhash64(d.isNull(), d, k, s.isNull(), s)
-    share = drawn.groupBy(row(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("__row"), F.col("text_key").alias("__key")).agg(
-        F.sum("copies").alias("__copies"), F.count("*").alias("__same")
-    )
+    """The mixed rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have no words and are drawn like others. Rows equal in id, text and
+    source share what the mix takes of them: as evenly as it goes, what is left over to those
+    with the smallest hash of all columns (which must then be columns that can be grouped). No
+    rows give no rows.
+    """
+    drawn = materialize(cube_mix(docs, id_col, text_col, source_col), "mix-drawn")
     col = lambda name: F.col(f"`{name}`")
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(col(text_col), F.lit(""))))
-    keyed = keyed.withColumn("__row", row(col(id_col), F.col("__key"), col(source_col).cast("string")))
-    joined = keyed.join(share, ["__row", "__key"])
-    if not share.where("__same > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("__row", "__key").orderBy(F.lit(1))) - 1
-        q, r = F.floor(F.col("__copies") / F.col("__same")), F.col("__copies") % F.col("__same")
-        joined = joined.withColumn("__copies", q + F.when(place < r, 1).otherwise(0))
-    times = joined.where("__copies > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, key, copies, same, place, time = fresh(docs, "row", "key", "copies", "same", "place", "time")
+    name = lambda d, k, s: F.xxhash64(d.isNull(), d, k, s.isNull(), s)
+    share = drawn.groupBy(name(F.col("doc_id"), F.col("text_key"), F.col("source")).alias(row), F.col("text_key").alias(key)).agg(
+        F.sum("copies").alias(copies), F.count("*").alias(same)
+    )
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(col(text_col), F.lit(""))))
+    keyed = keyed.withColumn(row, name(col(id_col), F.col(key), col(source_col).cast("string")))
+    share = materialize(share, "mix-share")
+    joined = keyed.join(share.where(F.col(copies) > 0), [row, key])
+    if not share.where(F.col(same) > 1).isEmpty():
+        # Rows equal in all columns are one row with a count, so a hot row shrinks before it is exchanged.
+        kinds = joined.where(F.col(same) > 1).groupBy(*[col(c) for c in [*docs.columns, row, key, copies, same]]).agg(F.count("*").alias(place))
+        upto = F.sum(place).over(Window.partitionBy(row, key).orderBy(F.xxhash64(*[col(c) for c in docs.columns])).rowsBetween(Window.unboundedPreceding, -1))
+        each, left = F.floor(F.col(copies) / F.col(same)), F.col(copies) % F.col(same)
+        more = F.greatest(F.lit(0), F.least(F.col(place), left - F.coalesce(upto, F.lit(0))))
+        kinds = kinds.withColumn(copies, (each * F.col(place) + more).cast("long"))
+        joined = joined.where(F.col(same) == 1).select(*[col(c) for c in docs.columns], copies).unionByName(
+            kinds.select(*[col(c) for c in docs.columns], copies)
+        )
+    times = joined.where(F.col(copies) > 0).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return times.select(*[col(c) for c in docs.columns])
