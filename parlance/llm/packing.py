@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,27 +274,28 @@ def pack(
             shard = np.searchsorted(starts, b.column("key").to_numpy(), side="right").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id"], kind="mergesort").reset_index(drop=True)
-        parts = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
-        pieces = pd.DataFrame(fill(parts, Index(parts, shared.value, total, mean, how), window), columns=["row", "start", "length", "seq", "offset"])
-        own = pieces["row"].to_numpy()
-        cut = [parts[r][s : s + n] for r, s, n in zip(own.tolist(), pieces["start"].tolist(), pieces["length"].tolist(), strict=True)]
-        return pd.DataFrame(
+    def run(rows: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: a pandas column of long with a null would round them.
+        rows = rows.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        parts = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("ids")]
+        found = np.array(list(fill(parts, Index(parts, shared.value, total, mean, how), window)), np.int64).reshape(-1, 5)
+        own, start, length, seq, offset = found.T
+        cut = [parts[r][s : s + n] for r, s, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
+        return pa.table(
             {
-                "doc_id": pdf["doc_id"].to_numpy()[own],
-                "start": pieces["start"].astype("int64"),
-                "length": pieces["length"].astype("int64"),
-                "ids_crc32": [zlib.crc32(c.astype("<u4").tobytes()) for c in cut],
-                "doc_tokens": pdf["n"].to_numpy()[own],
-                "sequence_id": (int(pdf["shard"].iloc[0]) << 32) + pieces["seq"].astype("int64"),
-                "offset": pieces["offset"].astype("int64"),
-                "ids": [c.tobytes() for c in cut],
+                "doc_id": rows.column("doc_id").take(pa.array(own)),
+                "start": start,
+                "length": length,
+                "ids_crc32": pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64()),
+                "doc_tokens": rows.column("n").take(pa.array(own)),
+                "sequence_id": (rows.column("shard")[0].as_py() << 32) + seq,
+                "offset": offset,
+                "ids": pa.array([c.tobytes() for c in cut], pa.binary()),
             }
         )
 
     kind = table.schema["doc_id"].dataType.simpleString()
     dealt = table.mapInArrow(deal, f"doc_id {kind}, order long, ids binary, n long, key long, shard long")
-    return dealt.groupBy("shard").applyInPandas(
+    return dealt.groupBy("shard").applyInArrow(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
