@@ -219,7 +219,9 @@ def shelves(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
 def search(
     vectors: DataFrame, every: int = 20, top: int = 20, how: Partitions = Partitions(), id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for ids divisible by ``every`` their ``top`` nearest by inner product.
+    """``query_id, rank, vec_id, score, n_parts, n_probed``: for ids divisible by ``every`` their ``top`` nearest by inner product.
+
+    ``n_parts`` is the number of learned parts, ``n_probed`` how many of them each query looked into.
 
     Null ids, and vectors that are null, zero or hold null or non-finite components take no
     part, nor do vectors of another length than most (ties: the shortest). A query never finds
@@ -233,10 +235,13 @@ def search(
     clean = clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).withColumn("same", F.xxhash64("v"))
     lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_parts int, n_probed int")
     clean = clean.where(F.size("v") == lengths["d"])
     # Ids of equal vectors; a hash shared by different vectors only means that they are not merged (v is in the key).
-    few = clean.groupBy("same", "v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, top + 1).alias("ids"))
+    # Each task keeps the smallest ids of a vector before the exchange, so a hot vector's ids never gather.
+    smallest = Window.partitionBy("same", "v").orderBy("vec_id")
+    once = clean.select("same", "v", "vec_id").distinct().withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= top + 1)
+    few = once.groupBy("same", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     kinds = materialize(few.select("same", "v", "ids", F.element_at("ids", 1).alias("vec_id")), "vectors")
     rows = kinds.count()
     drawn = kinds.orderBy(F.xxhash64("same", F.lit(5)), "vec_id").limit(how.most_sample).select("v").toPandas()
@@ -275,4 +280,6 @@ def search(
     # A query's own vector may have other ids, so the representative stays in until ids are spread out.
     spread = near.join(filed.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return spread.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return spread.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select(
+        "query_id", "rank", "vec_id", "score", F.lit(len(router.b)).alias("n_parts"), F.lit(router.probes).alias("n_probed")
+    )
