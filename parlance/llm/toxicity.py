@@ -19,11 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from parlance.llm.common import bound_batches, materialize, pick
+from parlance.llm.common import bound_batches, fresh, materialize, pick
 
 HASH_BITS = 20
 #: Fixed odd multipliers of the pair hashes: one for each distance between the two words.
@@ -34,7 +34,8 @@ FOLDS = 5
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Parameters; ``most_rows`` bounds the sample of labelled rows that the fit reads.
+    """Parameters; ``most_rows`` bounds the sample of labelled documents that the fit reads, and
+    ``most_features`` (4 bytes each) all their features: in the sample's random order, documents beyond it are left out.
 
     Toxic rows are the rarer ones, so their gradients count ``toxic_weight`` times.
     """
@@ -46,6 +47,7 @@ class Ftrl:
     epochs: int = 6
     toxic_weight: float = 3.0
     most_rows: int = 16_000
+    most_features: int = 60_000_000
 
 
 @lru_cache(maxsize=200_000)
@@ -136,10 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "d
     rows = slim.join(F.broadcast(drawn), "doc_id").select(
         "draw", "doc_id", "label", F.xxhash64("text").alias("tie"), _feature_column()("text").alias("at")
     )
+    # An id that repeats is learnt from once, by its text of the smallest hash.
+    rows = rows.groupBy("draw", "doc_id", "label").agg(F.min(F.struct("tie", "at")).alias("one")).select("draw", "doc_id", "label", "one.at")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Batches stay as they came: their buffers go back to the system as a whole afterwards.
-        held = list(batches)
+        held, left = [], how.most_features
+        for b in batches:
+            sizes = np.cumsum([len(at.as_buffer()) // 4 for at in b.column("at")])
+            held.append(b.slice(0, int(np.searchsorted(sizes, left, side="right"))))
+            left -= int(sizes[-1]) if len(sizes) else 0
+            if left <= 0:
+                break
 
         def sample() -> Iterator[tuple[np.ndarray, int]]:
             for b in held:
@@ -150,23 +160,22 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "d
         held.clear()
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(weight)], names=["number", "weight"])
 
-    one = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "tie")
+    one = rows.repartition(1).sortWithinPartitions("draw", "doc_id")
     found = one.mapInArrow(train, "number int, weight double").toPandas()
     return found["number"].to_numpy(np.int32), found["weight"].to_numpy(np.float64)
 
 
-def toxicity(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
-    """Score of a text column between 0 and 1; an empty or null text gets the bias alone."""
-    number, weight = model
+def toxicity(spark: SparkSession, text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Score of a text column between 0 and 1; an empty or null text gets the bias alone.
 
-    def dense() -> np.ndarray:
-        w = np.zeros((1 << HASH_BITS) + 1)
-        w[number] = weight
-        return w
+    The weights are broadcast: at most ``2 ** HASH_BITS`` and the bias, 12 bytes each.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = dense()
+        w = np.zeros((1 << HASH_BITS) + 1)
+        w[shared.value[0]] = shared.value[1]
         bias = w[1 << HASH_BITS]
         for part in parts:
             z = np.array([w[features(t)].sum() + bias for t in part], dtype=np.float64)
@@ -183,12 +192,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_c
     """
     model = fit(docs, labels, how, id_col, text_col)
     slim = pick(docs, doc_id=id_col, text=text_col)
-    scored = slim.select("doc_id", (fold("doc_id") == 0).alias("held_out"), toxicity(F.col("text"), model).alias("score"))
+    scored = slim.select("doc_id", (fold("doc_id") == 0).alias("held_out"), toxicity(docs.sparkSession, F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    """The rows of ``docs`` that score under 0.5, with all their columns, whatever their names.
+
+    Null and empty texts score by the bias alone; rows that repeat score alike. Without usable
+    labels all rows score 0.5 by weights of zero: then nothing is known, and all stay. No rows give no rows.
+    """
     model = fit(docs, labels, how, id_col, text_col)
-    scored = docs.withColumn("__score", toxicity(F.col(f"`{text_col}`"), model))
-    return scored.where("__score < 0.5").drop("__score")
+    if not len(model[0]):
+        return docs
+    (score,) = fresh(docs, "score")
+    scored = docs.withColumn(score, toxicity(docs.sparkSession, F.col(f"`{text_col}`"), model))
+    return scored.where(F.col(score) < 0.5).drop(score)
