@@ -10,6 +10,7 @@ lower-cased words, weights their counts.
 Logarithms cost more than all the rest, so the gamma draws come from counts of bits and Padé
 fractions, and ln c from square roots and one more fraction; errors are under 0.002 of a draw.
 A text and its edited form share the draws of a term, and its sample where its weights are equal.
+Slots are drawn in chunks, a row each, so that the generated code stays small enough to be compiled.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import pick, shuffle_parts
+from parlance.llm.common import discard, materialize, pick, row_key, shuffle_parts
 
 SLOTS = 48
+#: Slots of one row while they are drawn.
+CHUNK = 12
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -53,11 +56,11 @@ def _log_by_roots(x: Column) -> Column:
     return (y * y - 1.0) * 48.0 / (y * (y + 4.0) + 1.0)
 
 
-def _draws(term: str, slots: int) -> list[Column]:
-    """For each slot the columns r, ln c and b of a term's hash column."""
+def _draws(term: str, chunk: Column, slots: int) -> list[Column]:
+    """For each slot of a chunk the columns r, ln c and b of a term's hash column."""
     out = []
     for k in range(slots):
-        x, y, z = (F.xxhash64(F.col(term), F.lit(3 * k + i)) for i in range(3))
+        x, y, z = (F.xxhash64(F.col(term), chunk * (3 * slots) + (3 * k + i)) for i in range(3))
         out += [
             _gamma(x).alias(f"r{k}"),
             _log_by_roots(_gamma(y)).alias(f"c{k}"),
@@ -76,26 +79,53 @@ def _sample(k: int, log_weight: Column, term: Column) -> Column:
     return F.shiftleft(rank.cast("long"), 31).bitwiseOR(name)
 
 
-def signatures(counts: DataFrame, keys: list[str], term: str, first: str, second: str, slots: int = SLOTS) -> DataFrame:
+def signatures(weights: DataFrame, keys: list[str], slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
     """Signatures of two weightings of the same groups.
 
-    ``counts`` has one row for each group (``keys``) and ``term`` (a 64-bit hash) with the
-    weights ``first`` and ``second`` (0: the term is not in that text). Returns the keys and
-    ``first_sig`` and ``second_sig``, arrays of ``slots`` 16-bit integers; null for a text
-    without terms.
+    ``weights`` has rows of a group (``keys``), a ``term`` (a 64-bit hash), its weight ``w`` and
+    whether it holds in the first (``i``) and the second (``j``) text; a term has one row, or one
+    for each text if its weights differ. Returns the keys and ``first_sig`` and ``second_sig``,
+    arrays of ``slots`` 16-bit integers; null for a text without terms.
     """
-    weighted = lambda w, i, j: F.struct(w.cast("double").alias("w"), F.lit(i).alias("i"), F.lit(j).alias("j"))
-    a, b = F.col(first), F.col(second)
-    cases = F.when(a == b, F.array(weighted(a, True, True))).when(b == 0, F.array(weighted(a, True, False)))
-    cases = cases.when(a == 0, F.array(weighted(b, False, True))).otherwise(F.array(weighted(a, True, False), weighted(b, False, True)))
-    rows = counts.select(*keys, term, F.explode(cases).alias("x"))
-    drawn = rows.select(*keys, term, F.col("x.i").alias("i"), F.col("x.j").alias("j"), F.log("x.w").alias("log_weight"), *_draws(term, slots))
-    drawn = drawn.select(*keys, "i", "j", *[_sample(k, F.col("log_weight"), F.col(term)).alias(f"slot{k}") for k in range(slots)])
-    best = [F.min(F.when(F.col(side), F.col(f"slot{k}"))).alias(f"{side}{k}") for side in "ij" for k in range(slots)]
-    low = drawn.groupBy(*keys).agg(*best)
+    if slots % chunk:
+        raise ValueError("slots must fill whole chunks")
+    rows = weights.select(*keys, "term", "i", "j", F.log(F.col("w").cast("double")).alias("log_weight"), F.explode(F.sequence(F.lit(0), F.lit(slots // chunk - 1))).alias("chunk"))
+    drawn = rows.select(*keys, "chunk", "term", "i", "j", "log_weight", *_draws("term", F.col("chunk"), chunk))
+    drawn = drawn.select(*keys, "chunk", "i", "j", *[_sample(k, F.col("log_weight"), F.col("term")).alias(f"slot{k}") for k in range(chunk)])
+    best = [F.min(F.when(F.col(side), F.col(f"slot{k}"))).alias(f"{side}{k}") for side in "ij" for k in range(chunk)]
+    low = drawn.groupBy(*keys, "chunk").agg(*best)
     slot = lambda x: F.xxhash64(x.bitwiseAND(F.lit((1 << 31) - 1))).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    sig = lambda side: F.array(*[slot(F.col(f"{side}{k}")) for k in range(slots)])
-    return low.select(*keys, sig("i").alias("first_sig"), sig("j").alias("second_sig"))
+    part = lambda side: F.array(*[slot(F.col(f"{side}{k}")) for k in range(chunk)]).alias(side)
+    parts = low.select(*keys, "chunk", part("i"), part("j")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "i", "j"))).alias("parts"))
+    whole = lambda side: F.flatten(F.transform("parts", lambda x: x[side]))
+    return parts.select(*keys, whole("i").alias("first_sig"), whole("j").alias("second_sig"))
+
+
+def _column(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that explode() makes, so that no later expression computes it again for each use."""
+    return rows.select(*rows.columns, F.explode(F.array(value)).alias(name))
+
+
+def word_weights(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """``keys, term, w, i, j`` of the texts ``first`` and ``second`` as ``signatures`` takes them.
+
+    Words are counted inside the row: their hashes, whose last bit tells the text, are sorted,
+    and runs of equal ones are the counts; a term of both texts has its two runs side by side.
+    """
+    hashes = lambda c, side: F.transform(_terms(F.col(c)), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("long")))
+    made = _column(rows.select(*keys, first, second), "h", F.sort_array(F.concat(hashes(first, 0), hashes(second, 1)))).select(*keys, "h")
+    at = lambda i: F.get("h", i)
+    made = _column(made, "starts", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
+    ends = F.concat(F.slice("starts", 2, F.size("h")), F.array(F.size("h")))
+    made = _column(made, "runs", F.zip_with("starts", ends, lambda a, b: F.struct(at(a).alias("v"), (b - a).alias("w")))).select(*keys, "runs")
+    same = lambda x, y: F.coalesce((x.v.bitwiseAND(F.lit(-2)) == y.v.bitwiseAND(F.lit(-2))) & (x.w == y.w), F.lit(False))
+    own = lambda x: x.v.bitwiseAND(F.lit(1)) == 0
+    case = lambda x, k: (
+        F.when(own(x), F.when(same(x, F.get("runs", k + 1)), 3).otherwise(1)).when((k > 0) & same(x, F.get("runs", k - 1)), 0).otherwise(2)
+    )
+    named = F.transform("runs", lambda x, k: F.struct(x.v.bitwiseAND(F.lit(-2)).alias("term"), x.w.alias("w"), case(x, k).alias("c")))
+    found = made.select(*keys, F.explode(named).alias("x")).where("x.c > 0")
+    return found.select(*keys, "x.term", "x.w", (F.col("x.c") != 2).alias("i"), (F.col("x.c") != 1).alias("j"))
 
 
 def as_hex(sig: Column) -> Column:
@@ -114,54 +144,56 @@ def _sha_words(text: Column) -> list[Column]:
     return [F.shiftleft(part(2 * i), 32).bitwiseOR(part(2 * i + 1)).alias(f"s{i}") for i in range(4)]
 
 
-def _ordered(docs: DataFrame, buckets: int) -> DataFrame:
-    """``b, rn, ghost, doc_id, text, next_text``: rows in id order inside ranges of ids.
+def _followers(slim: DataFrame) -> DataFrame:
+    """``rid, key, nrid, nkey, m, times``: for each different row, by name, the row after it.
 
-    Range bounds are approximate quantiles; the first row of the next range (after the last:
-    of the first) is added to each range as a ghost, so that each row meets its successor
-    without a sort of the whole table in one task.
+    Rows are in order of id, null first, then text hash; after the last comes the first. Of rows
+    that repeat all but the last are followed by themselves. Only ids and hashes are sorted, in
+    ranges; the driver sees the first row of each range.
     """
-    spark = docs.sparkSession
-    marks = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000).alias("m")).first()["m"] or []
-    marks = sorted({m for m in marks if m is not None})
-    number = F.coalesce(F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col("doc_id"))), F.lit(0)) if marks else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(number)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), number.alias("b"))
-    first = keyed.groupBy("b").agg(F.min(F.struct("doc_id", "key")).alias("one")).orderBy("b").collect()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    after = [(r["b"], nxt["one"]["doc_id"], nxt["one"]["key"]) for r, nxt in zip(first, [*first[1:], *first[:1]], strict=True)]
-    ghosts = spark.createDataFrame(after, f"to int, g_id {kind}, g_key long")
-    lent = keyed.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")))
-    lent = lent.select("to", "doc_id", "text", "key").dropDuplicates(["to"]).select(F.col("to").alias("b"), F.lit(1).alias("ghost"), "doc_id", "key", "text")
-    rows = keyed.select("b", F.lit(0).alias("ghost"), "doc_id", "key", "text").unionByName(lent)
-    order = Window.partitionBy("b").orderBy("ghost", "doc_id", "key")
-    return rows.select("b", "ghost", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
+    spark = slim.sparkSession
+    once = slim.groupBy("doc_id", "key", "rid", "n").agg(F.count("*").alias("c"))
+    ranges = once.repartitionByRange(max(4, 4 * shuffle_parts(spark)), F.asc_nulls_first("doc_id"), "key")
+    order = materialize(ranges.withColumn("part", F.spark_partition_id()), "id-order")
+    first = order.groupBy("part").agg(F.min_by(F.struct("rid", "key"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "key")).alias("one")).orderBy("part").collect()
+    after = [(r["part"], nxt["one"]["rid"], nxt["one"]["key"]) for r, nxt in zip(first, [*first[1:], *first[:1]], strict=True)]
+    heads = spark.createDataFrame(after, "part int, hrid long, hkey long")  # one row a range
+    place = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "key")
+    led = order.withColumns({"nrid": F.lead("rid").over(place), "nkey": F.lead("key").over(place)}).join(F.broadcast(heads), "part")
+    last = F.col("nrid").isNull()
+    nxt = F.struct(F.when(last, F.col("hrid")).otherwise(F.col("nrid")).alias("rid"), F.when(last, F.col("hkey")).otherwise(F.col("nkey")).alias("key"), F.lit(1).cast("long").alias("times"))
+    itself = F.struct("rid", "key", (F.col("c") - 1).alias("times"))
+    both = led.select("rid", "key", F.floor(F.col("n") / 4).cast("int").alias("m"), F.explode(F.when(F.col("c") > 1, F.array(nxt, itself)).otherwise(F.array(nxt))).alias("f"))
+    return materialize(both.select("rid", "key", F.col("f.rid").alias("nrid"), F.col("f.key").alias("nkey"), "m", F.col("f.times").alias("times")), "followers")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Fingerprint of each text and of its edited form, whose last quarter is the next document's beginning.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``. Ids must be numbers. Documents follow each other by id, null ids first, equal
-    ids by text hash; after the last comes the first. A null text counts as empty; an empty
-    text has the fingerprint of the empty word. Rows that repeat follow each other. No rows
-    give no rows.
+    near_next``. Ids are of any type with an order. Documents follow each other by id, null ids
+    first, equal ids by text hash; after the last comes the first. A null text counts as empty; an
+    empty text has the fingerprint of the empty word. Rows that repeat follow each other. Very
+    long texts are read whole. Other columns take no part, whatever their names. No rows give no rows.
     """
-    slim = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = _ordered(slim, max(4, 4 * shuffle_parts(docs.sparkSession)))
-    n = F.char_length("text").cast("long")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - cut), F.coalesce(F.col("next_text"), F.lit("")).substr(F.lit(1), cut))
-    rows = rows.select("b", "rn", "ghost", "doc_id", n.alias("n_chars"), "text", edited.alias("edited"))
-    keys = ["b", "rn", "ghost", "doc_id", "n_chars", "s0", "s1", "s2", "s3"]
-    rows = rows.select(*keys[:5], *_sha_words(F.col("edited")), "text", "edited")
-    side = lambda i, body: F.struct(F.lit(i).alias("side"), F.col(body).alias("body"))
-    both = rows.select(*keys, F.explode(F.array(side(0, "text"), side(1, "edited"))).alias("x"))
-    words = both.select(*keys, F.col("x.side").alias("side"), F.explode(_terms(F.col("x.body"))).alias("word"))
-    counts = words.select(*keys, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.sum(1 - F.col("side")).alias("own"), F.sum("side").alias("new"))
-    sigs = signatures(counts, keys, "term", "own", "new", slots)
-    follow = Window.partitionBy("b").orderBy("rn")
-    near = sigs.withColumn("next_sig", F.lead("first_sig").over(follow)).where("ghost = 0")
+    text = F.coalesce("text", F.lit(""))
+    slim = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
+    slim = slim.withColumn("rid", row_key(F.col("doc_id"), F.lit(0)))
+    follow = _followers(slim.select("doc_id", "key", "rid", F.char_length("text").alias("n")))
+    texts = slim.groupBy("rid", "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    lent = follow.join(texts.select(F.col("rid").alias("nrid"), F.col("key").alias("nkey"), "text"), ["nrid", "nkey"])
+    lent = lent.select("rid", "key", "nrid", "nkey", "times", F.expr("substring(text, 1, m)").alias("start"))
+    rows = texts.join(lent, ["rid", "key"])
+    n = F.char_length("text")
+    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), "start")
+    rows = rows.select("rid", "key", "nrid", "nkey", "times", "doc_id", n.cast("long").alias("n_chars"), "text", F.explode(F.array(edited)).alias("edited"))
+    keys = ["rid", "key", "nrid", "nkey", "times", "doc_id", "n_chars", "s0", "s1", "s2", "s3"]
+    rows = rows.select(*keys[:7], *_sha_words(F.col("edited")), "text", "edited")
+    sigs = materialize(signatures(word_weights(rows, keys, "text", "edited"), keys, slots), "signatures")
+    discard(follow)
+    after = sigs.where((F.col("times") == 1)).dropDuplicates(["rid", "key"]).select(F.col("rid").alias("nrid"), F.col("key").alias("nkey"), F.col("first_sig").alias("next_sig"))
+    near = sigs.join(after, ["nrid", "nkey"])
+    near = near.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
     return near.select(
         "doc_id", "n_chars", sha.alias("edited_sha256"), as_hex(F.col("first_sig")).alias("fingerprint"), as_hex(F.col("second_sig")).alias("edited_fingerprint"),
