@@ -64,10 +64,8 @@ def document_frequency(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids in b.column("ids").to_pylist():
-                here = np.zeros(1 << 16, np.bool_)
-                here[np.frombuffer(ids, "<u2")] = True
-                seen[np.flatnonzero(here)] += 1
+            for ids in b.column("ids"):
+                seen[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
 
@@ -85,11 +83,13 @@ class Index:
     """Inverted index of one shard: for each token the documents that hold it and their BM25 weights.
 
     Every token is indexed and queries. A token of over an eighth of the shard's documents has
-    its weights in a dense row, which is at most eight times the size of its postings.
+    its weights in a dense row, which is at most eight times the size of its postings. Documents
+    that are used up can be taken out; ``here`` numbers those that are left.
     """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float, how: Bm25):
         self.n = len(docs)
+        self.here = np.arange(self.n)
         self.terms: list[np.ndarray] = []
         freq = []
         for ids in docs:
@@ -103,8 +103,7 @@ class Index:
         length = np.array([len(d) for d in docs], np.float64)
         norm = how.k1 * (1 - how.b + how.b * length / max(mean, 1.0))
         weight = (idf(df, total)[term] * tf * (how.k1 + 1) / (tf + norm[doc])).astype(np.float32)
-        here = np.bincount(term, minlength=1 << 16)
-        often = np.flatnonzero(here * 8 > self.n)
+        often = np.flatnonzero(np.bincount(term, minlength=1 << 16) * 8 > self.n)
         self.row = np.full(1 << 16, -1, np.int64)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.n), np.float32)
@@ -115,8 +114,17 @@ class Index:
         self.doc, self.weight = doc[by], weight[by]
         self.start = np.searchsorted(term[by], np.arange((1 << 16) + 1))
 
+    def keep(self, left: np.ndarray) -> None:
+        """Only the documents of ``here`` that ``left`` marks stay."""
+        self.here, self.dense = self.here[left], self.dense[:, left]
+        number = np.cumsum(left) - 1
+        stay = left[self.doc]
+        self.start = np.concatenate(([0], np.cumsum(stay)))[self.start]
+        self.doc, self.weight = number[self.doc[stay]], self.weight[stay]
+        self.n = len(self.here)
+
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents of the shard for the distinct tokens of the seed."""
+        """BM25 of the documents that are left for the distinct tokens of the seed."""
         t = self.terms[seed]
         a, b = self.start[t], self.start[t + 1]
         size = b - a
@@ -166,17 +174,20 @@ def grow(x: np.ndarray, depth: int = DEPTH) -> Node | None:
     return Node(c, axis, [grow(x[own == k], depth - 1) if (own == k).sum() < len(x) else None for k in range(BRANCH)])
 
 
-def place(x: np.ndarray, tree: Node | None) -> int:
-    """The path in the tree, then 20 bits of the place along the last node's axis."""
-    path, axis = 0, None
-    for _ in range(DEPTH):
-        k = 0
-        if tree is not None:
-            k, axis = int((tree.centres @ x).argmax()), tree.along
-            tree = tree.below[k]
-        path = path * BRANCH + k
-    along = 0.0 if axis is None else float(axis @ x)
-    return (path << 20) + min((1 << 20) - 1, max(0, int((along + 1) * (1 << 19))))
+def place(x: np.ndarray, tree: Node | None) -> np.ndarray:
+    """For each row of ``x`` the path in the tree, then 20 bits of the place along the last node's axis."""
+    path, along = np.zeros(len(x), np.int64), np.zeros(len(x))
+    waiting = [(np.arange(len(x)), tree, 0)] if tree is not None and len(x) else []
+    while waiting:
+        rows, node, depth = waiting.pop()
+        k = (x[rows] @ node.centres.T).argmax(axis=1)
+        path[rows] += k * BRANCH ** (DEPTH - 1 - depth)
+        along[rows] = x[rows] @ node.along
+        for b, below in enumerate(node.below):
+            inner = rows[k == b]
+            if below is not None and len(inner):
+                waiting.append((inner, below, depth + 1))
+    return (path << 20) + np.clip(((along + 1) * (1 << 19)).astype(np.int64), 0, (1 << 20) - 1)
 
 
 def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -> DataFrame:
@@ -197,7 +208,9 @@ def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.array([place(vector(np.frombuffer(ids, "<u2"), shared.value, mean, how), tree.value) for ids in b.column("ids").to_pylist()], np.int64)
+            if not b.num_rows:
+                continue
+            at = place(np.stack([vector(np.frombuffer(ids, "<u2"), shared.value, mean, how) for ids in b.column("ids").to_pylist()]), tree.value)
             own = b.column("order").to_numpy() & ((1 << GROUP_BITS) - 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at << GROUP_BITS) | own)], names=[*b.schema.names, "key"])
 
@@ -207,27 +220,25 @@ def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -
 
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Greedy filling: ``(document, start, length, sequence, offset)`` of each piece."""
-    unused = np.ones(len(docs), dtype=bool)
-    front, at, seq, used = 0, 0, 0, 0
+    unused = np.ones(len(docs), dtype=bool)  # of the documents that the index still has
+    at, seq, used, done = 0, 0, 0, 0
     now: int | None = None
     rank: np.ndarray | None = None
-    for _ in range(sum(map(len, docs)) + len(docs) + 1):
+    while True:
         if now is None or at == len(docs[now]):
-            now, at = None, 0
-            if rank is not None and len(rank):
-                best = int(np.argmax(rank))
-                if rank[best] > 0:
-                    now = best
-            if now is None:
-                while front < len(docs) and not unused[front]:
-                    front += 1
-                if front == len(docs):
-                    return
-                now = front
-            unused[now] = False
+            if done == len(docs):
+                return
+            best = int(np.argmax(rank)) if rank is not None and len(rank) else 0
+            if rank is None or rank[best] <= 0:
+                best = int(np.argmax(unused))  # the first in order
+            now, at, done = int(index.here[best]), 0, done + 1
+            unused[best] = False
             if rank is not None:
-                rank[now] = 0
+                rank[best] = 0
         if used == 0:  # the first of a window is its seed
+            if 4 * int(unused.sum()) < 3 * len(unused):
+                index.keep(unused)
+                unused = np.ones(index.n, dtype=bool)
             rank = index.scores(now)
             rank[~unused] = 0
         n = min(window - used, len(docs[now]) - at)
