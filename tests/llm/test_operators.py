@@ -41,6 +41,19 @@ def test_op1_matches_sql(spark):
     assert got == want and got
 
 
+def test_op1_finds_licences_inside_texts(spark):
+    """Whole licences as three paragraphs after others, with either line ends, and every whole template by itself."""
+    mit = licenses.TEMPLATES["mit"]
+    a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS")
+    inside = "\n\n".join(["word " * 120, mit[:a], mit[a:b], mit[b:], "and more words here"])
+    rows = [(1, inside), (2, inside.replace("\n", "\r\n")), (3, "Copyright (c) 2020\n" + licenses.TEMPLATES["bsd-3-clause"]), (4, "nothing")]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "mit"), (2, "mit"), (3, "bsd-3-clause")} <= got and not any(d == 4 for d, _ in got)
+    whole = spark.createDataFrame(list(enumerate(licenses.TEMPLATES.values())), "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r["score"] for r in licenses.scan_licenses(whole).collect()}
+    assert all(found[i, name] == 1.0 for i, name in enumerate(licenses.TEMPLATES))
+
+
 def test_op1_size_bounds_prune_nothing_that_matches():
     for size in range(1, 60):
         low, high = licenses.size_bounds(size, 0.8)
