@@ -22,12 +22,20 @@ NEAR = simhash.similar(0.8, shingle=5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones among them, rejects go."""
+    """Documents that the toxicity model, fitted on the labelled ones among them, rejects go.
+
+    Null and empty texts score by the model's bias alone; rows that repeat score alike; without
+    usable labels all stay. No rows give no rows.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over five words one stays: the one with the smallest id."""
+    """Of documents linked by a similarity of 0.8 over five words one stays: the one with the smallest id.
+
+    Null ids come last, ties go to the smaller text hash, and of rows equal in both one stays. Null
+    and empty texts and texts without words are copies of each other. No rows give no rows.
+    """
     return simhash.keep_one(docs, how=NEAR)
 
 
@@ -41,12 +49,20 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the balanced mix takes it."""
+    """Each document as often as the balanced mix takes it.
+
+    Null and empty texts have no words and are drawn like others; a null source is a source of
+    its own; rows that repeat share what is taken of them. No rows give no rows.
+    """
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, with their ids."""
+    """Pieces of sequences of 1024 tokens, with their ids.
+
+    A null text counts as empty and is packed as its closing id; rows that repeat are packed
+    each; very long texts are cut at window ends. No rows give no rows.
+    """
     return packing.pack(docs, tokenizer_path())
 
 

@@ -59,7 +59,10 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def document_frequency(tokens: DataFrame) -> np.ndarray:
-    """In how many documents each id occurs, counted over all of them; the array has the vocabulary's size."""
+    """In how many documents each id occurs, counted over all of them; the array has the vocabulary's size.
+
+    Rows that repeat count each; an empty text has its closing id alone. No rows give zeros.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)

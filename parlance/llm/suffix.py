@@ -365,7 +365,7 @@ def repeated_spans(holders: DataFrame, how: Repeats, level: int = 0) -> DataFram
     groups = kinds.groupBy("anchor").agg(F.sum(F.col("one.size") + 1).alias("bytes"), F.count("*").alias("n"))
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     indexes = max(1, -(-int(total) // how.index_bytes))
-    hot = materialize(groups.where(F.col("bytes") > how.hot_bytes).select("anchor"), "hot-anchors")  # at most total / hot_bytes rows
+    hot = groups.where(F.col("bytes") > how.hot_bytes).select("anchor")
     any_hot = not hot.isEmpty()
     marked = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left") if any_hot else kinds.withColumn("hot", F.lit(False))
     wanted = marked.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(
@@ -395,7 +395,7 @@ def repeated_spans(holders: DataFrame, how: Repeats, level: int = 0) -> DataFram
     placed = join_hot(varied, covers, ["anchor", "same"], varied.count())
     placed = placed.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     done = materialize(alike.unionByName(placed), "repeats")
-    discard(found, kinds, hot, covers, *([bodies] if any_hot else []))
+    discard(found, kinds, covers, *([bodies] if any_hot else []))
     return done
 
 
