@@ -20,11 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, materialize, pick, row_key, shuffle_parts
+from parlance.llm.common import materialize, pick, row_key, shuffle_parts
 
 SLOTS = 48
-#: Slots of one row while they are drawn.
-CHUNK = 12
+#: Slots of one row while they are drawn; with eight the generated method is too long for the JVM to compile.
+CHUNK = 2
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -84,48 +84,43 @@ def signatures(weights: DataFrame, keys: list[str], slots: int = SLOTS, chunk: i
 
     ``weights`` has rows of a group (``keys``), a ``term`` (a 64-bit hash), its weight ``w`` and
     whether it holds in the first (``i``) and the second (``j``) text; a term has one row, or one
-    for each text if its weights differ. Returns the keys and ``first_sig`` and ``second_sig``,
-    arrays of ``slots`` 16-bit integers; null for a text without terms.
+    for each text if its weights differ. Rows of a ``kind`` over 0 are no terms: their ``term`` is
+    handed on as ``note1`` to ``note4``. Returns the keys, ``first_sig`` and ``second_sig``, arrays
+    of ``slots`` 16-bit integers, null for a text without terms, and the notes.
     """
     if slots % chunk:
         raise ValueError("slots must fill whole chunks")
-    rows = weights.select(*keys, "term", "i", "j", F.log(F.col("w").cast("double")).alias("log_weight"), F.explode(F.sequence(F.lit(0), F.lit(slots // chunk - 1))).alias("chunk"))
-    drawn = rows.select(*keys, "chunk", "term", "i", "j", "log_weight", *_draws("term", F.col("chunk"), chunk))
-    drawn = drawn.select(*keys, "chunk", "i", "j", *[_sample(k, F.col("log_weight"), F.col("term")).alias(f"slot{k}") for k in range(chunk)])
+    notes = [f"note{k}" for k in range(1, 5)]
+    rows = weights.select(*keys, "term", "kind", "i", "j", F.log(F.col("w").cast("double")).alias("log_weight"), F.explode(F.sequence(F.lit(0), F.lit(slots // chunk - 1))).alias("chunk"))
+    drawn = rows.select(*keys, "chunk", "term", "kind", "i", "j", "log_weight", *_draws("term", F.col("chunk"), chunk))
+    drawn = drawn.select(*keys, "chunk", "kind", "term", "i", "j", *[_sample(k, F.col("log_weight"), F.col("term")).alias(f"slot{k}") for k in range(chunk)])
     best = [F.min(F.when(F.col(side), F.col(f"slot{k}"))).alias(f"{side}{k}") for side in "ij" for k in range(chunk)]
-    low = drawn.groupBy(*keys, "chunk").agg(*best)
+    low = drawn.groupBy(*keys, "chunk").agg(*best, *[F.max(F.when(F.col("kind") == k, F.col("term"))).alias(c) for k, c in enumerate(notes, start=1)])
     slot = lambda x: F.xxhash64(x.bitwiseAND(F.lit((1 << 31) - 1))).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    part = lambda side: F.array(*[slot(F.col(f"{side}{k}")) for k in range(chunk)]).alias(side)
-    parts = low.select(*keys, "chunk", part("i"), part("j")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "i", "j"))).alias("parts"))
+    part = lambda side: F.when(F.col(f"{side}0").isNotNull(), F.array(*[slot(F.col(f"{side}{k}")) for k in range(chunk)])).alias(side)
+    parts = low.select(*keys, "chunk", part("i"), part("j"), *notes).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "i", "j"))).alias("parts"), *[F.max(c).alias(c) for c in notes])
     whole = lambda side: F.flatten(F.transform("parts", lambda x: x[side]))
-    return parts.select(*keys, whole("i").alias("first_sig"), whole("j").alias("second_sig"))
-
-
-def _column(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """``rows`` with a column that explode() makes, so that no later expression computes it again for each use."""
-    return rows.select(*rows.columns, F.explode(F.array(value)).alias(name))
-
-
-def word_weights(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
-    """``keys, term, w, i, j`` of the texts ``first`` and ``second`` as ``signatures`` takes them.
-
-    Words are counted inside the row: their hashes, whose last bit tells the text, are sorted,
-    and runs of equal ones are the counts; a term of both texts has its two runs side by side.
-    """
-    hashes = lambda c, side: F.transform(_terms(F.col(c)), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("long")))
-    made = _column(rows.select(*keys, first, second), "h", F.sort_array(F.concat(hashes(first, 0), hashes(second, 1)))).select(*keys, "h")
-    at = lambda i: F.get("h", i)
-    made = _column(made, "starts", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
-    ends = F.concat(F.slice("starts", 2, F.size("h")), F.array(F.size("h")))
-    made = _column(made, "runs", F.zip_with("starts", ends, lambda a, b: F.struct(at(a).alias("v"), (b - a).alias("w")))).select(*keys, "runs")
-    same = lambda x, y: F.coalesce((x.v.bitwiseAND(F.lit(-2)) == y.v.bitwiseAND(F.lit(-2))) & (x.w == y.w), F.lit(False))
-    own = lambda x: x.v.bitwiseAND(F.lit(1)) == 0
-    case = lambda x, k: (
-        F.when(own(x), F.when(same(x, F.get("runs", k + 1)), 3).otherwise(1)).when((k > 0) & same(x, F.get("runs", k - 1)), 0).otherwise(2)
-    )
-    named = F.transform("runs", lambda x, k: F.struct(x.v.bitwiseAND(F.lit(-2)).alias("term"), x.w.alias("w"), case(x, k).alias("c")))
-    found = made.select(*keys, F.explode(named).alias("x")).where("x.c > 0")
-    return found.select(*keys, "x.term", "x.w", (F.col("x.c") != 2).alias("i"), (F.col("x.c") != 1).alias("j"))
+    return parts.select(*keys, whole("i").alias("first_sig"), whole("j").alias("second_sig"), *notes)
+
+
+def word_weights(rows: DataFrame, keys: list[str], first: str, second: str, notes: list[Column]) -> DataFrame:
+    """``keys, term, kind, w, i, j`` of the texts ``first`` and ``second`` and of up to four ``notes``, as ``signatures`` takes them."""
+    entry = lambda side, body, more: F.struct(F.lit(side).alias("side"), body.alias("body"), more.alias("notes"))
+    none = F.array().cast("array<bigint>")
+    cases = F.array(entry(0, F.col(first), none), entry(1, F.col(second), none), entry(2, F.lit(None).cast("string"), F.array(*notes)))
+    both = rows.select(*keys, F.explode(cases).alias("x")).select(*keys, "x.side", "x.body", "x.notes")
+    # A row is one of a text's words, or one of the notes.
+    items = F.when(F.col("side") < 2, _terms(F.col("body"))).otherwise(F.transform("notes", lambda x: x.cast("string")))
+    found = both.select(*keys, "side", F.posexplode(items).alias("at", "item"))
+    term = F.when(F.col("side") < 2, F.xxhash64("item")).otherwise(F.col("item").cast("long"))
+    kind = F.when(F.col("side") < 2, 0).otherwise(F.col("at") + 1)
+    one = lambda k: F.sum((F.col("side") == k).cast("int"))
+    counts = found.select(*keys, term.alias("term"), kind.alias("kind"), "side").groupBy(*keys, "term", "kind").agg(one(0).alias("own"), one(1).alias("new"))
+    weighted = lambda w, i, j: F.struct(w.cast("double").alias("w"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+    a, b = F.col("own"), F.col("new")
+    split = F.when(F.col("kind") > 0, F.array(weighted(F.lit(1), False, False))).when(a == b, F.array(weighted(a, True, True))).when(b == 0, F.array(weighted(a, True, False)))
+    split = split.when(a == 0, F.array(weighted(b, False, True))).otherwise(F.array(weighted(a, True, False), weighted(b, False, True)))
+    return counts.select(*keys, "term", "kind", F.explode(split).alias("x")).select(*keys, "term", "kind", "x.w", "x.i", "x.j")
 
 
 def as_hex(sig: Column) -> Column:
@@ -141,15 +136,15 @@ def _sha_words(text: Column) -> list[Column]:
     """SHA-256 as four longs, so that aggregation can carry it in fixed-width keys."""
     sha = F.sha2(text.cast("binary"), 256)
     part = lambda i: F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long")
-    return [F.shiftleft(part(2 * i), 32).bitwiseOR(part(2 * i + 1)).alias(f"s{i}") for i in range(4)]
+    return [F.shiftleft(part(2 * i), 32).bitwiseOR(part(2 * i + 1)) for i in range(4)]
 
 
 def _followers(slim: DataFrame) -> DataFrame:
-    """``rid, key, nrid, nkey, m, times``: for each different row, by name, the row after it.
+    """``doc_id, rid, key, v, nrid, nkey, n, times``: for each different row, by name, the row after it.
 
     Rows are in order of id, null first, then text hash; after the last comes the first. Of rows
-    that repeat all but the last are followed by themselves. Only ids and hashes are sorted, in
-    ranges; the driver sees the first row of each range.
+    that repeat all but the last are followed by themselves (``v`` 0). Only ids and hashes are
+    sorted, in ranges; the driver sees the first row of each range.
     """
     spark = slim.sparkSession
     once = slim.groupBy("doc_id", "key", "rid", "n").agg(F.count("*").alias("c"))
@@ -161,10 +156,11 @@ def _followers(slim: DataFrame) -> DataFrame:
     place = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "key")
     led = order.withColumns({"nrid": F.lead("rid").over(place), "nkey": F.lead("key").over(place)}).join(F.broadcast(heads), "part")
     last = F.col("nrid").isNull()
-    nxt = F.struct(F.when(last, F.col("hrid")).otherwise(F.col("nrid")).alias("rid"), F.when(last, F.col("hkey")).otherwise(F.col("nkey")).alias("key"), F.lit(1).cast("long").alias("times"))
-    itself = F.struct("rid", "key", (F.col("c") - 1).alias("times"))
-    both = led.select("rid", "key", F.floor(F.col("n") / 4).cast("int").alias("m"), F.explode(F.when(F.col("c") > 1, F.array(nxt, itself)).otherwise(F.array(nxt))).alias("f"))
-    return materialize(both.select("rid", "key", F.col("f.rid").alias("nrid"), F.col("f.key").alias("nkey"), "m", F.col("f.times").alias("times")), "followers")
+    follower = lambda v, rid, key, times: F.struct(F.lit(v).alias("v"), rid.alias("nrid"), key.alias("nkey"), times.alias("times"))
+    nxt = follower(1, F.when(last, F.col("hrid")).otherwise(F.col("nrid")), F.when(last, F.col("hkey")).otherwise(F.col("nkey")), F.lit(1).cast("long"))
+    itself = follower(0, F.col("rid"), F.col("key"), F.col("c") - 1)
+    both = led.select("doc_id", "rid", "key", "n", F.explode(F.when(F.col("c") > 1, F.array(nxt, itself)).otherwise(F.array(nxt))).alias("f"))
+    return materialize(both.select("doc_id", "rid", "key", "n", "f.*"), "followers")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -179,23 +175,20 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce("text", F.lit(""))
     slim = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
     slim = slim.withColumn("rid", row_key(F.col("doc_id"), F.lit(0)))
-    follow = _followers(slim.select("doc_id", "key", "rid", F.char_length("text").alias("n")))
-    texts = slim.groupBy("rid", "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    lent = follow.join(texts.select(F.col("rid").alias("nrid"), F.col("key").alias("nkey"), "text"), ["nrid", "nkey"])
-    lent = lent.select("rid", "key", "nrid", "nkey", "times", F.expr("substring(text, 1, m)").alias("start"))
-    rows = texts.join(lent, ["rid", "key"])
-    n = F.char_length("text")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), "start")
-    rows = rows.select("rid", "key", "nrid", "nkey", "times", "doc_id", n.cast("long").alias("n_chars"), "text", F.explode(F.array(edited)).alias("edited"))
-    keys = ["rid", "key", "nrid", "nkey", "times", "doc_id", "n_chars", "s0", "s1", "s2", "s3"]
-    rows = rows.select(*keys[:7], *_sha_words(F.col("edited")), "text", "edited")
-    sigs = materialize(signatures(word_weights(rows, keys, "text", "edited"), keys, slots), "signatures")
-    discard(follow)
-    after = sigs.where((F.col("times") == 1)).dropDuplicates(["rid", "key"]).select(F.col("rid").alias("nrid"), F.col("key").alias("nkey"), F.col("first_sig").alias("next_sig"))
-    near = sigs.join(after, ["nrid", "nkey"])
+    follow = _followers(slim.select("doc_id", "key", "rid", F.char_length("text").cast("long").alias("n")))
+    texts = slim.groupBy("rid", "key").agg(F.first("text").alias("text"))  # met twice below, exchanged once
+    cut = F.floor(F.col("n") / 4).cast("int")
+    lent = follow.join(texts.withColumnsRenamed({"rid": "nrid", "key": "nkey"}), ["nrid", "nkey"])
+    lent = lent.select("rid", "key", "v", "n", F.substring(F.col("text"), F.lit(1), cut).alias("start"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - cut).cast("int")), "start")
+    rows = texts.join(lent, ["rid", "key"]).select("rid", "key", "v", "text", F.explode(F.array(edited)).alias("edited"))
+    keys = ["rid", "key", "v"]
+    sigs = materialize(signatures(word_weights(rows, keys, "text", "edited", _sha_words(F.col("edited"))), keys, slots), "signatures")
+    after = sigs.where("v = 1").select(F.col("rid").alias("nrid"), F.col("key").alias("nkey"), F.col("first_sig").alias("next_sig"))
+    near = sigs.join(follow, keys).join(after, ["nrid", "nkey"])
     near = near.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
-    sha = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"note{k}"), 16, "0") for k in range(1, 5)]))
     return near.select(
-        "doc_id", "n_chars", sha.alias("edited_sha256"), as_hex(F.col("first_sig")).alias("fingerprint"), as_hex(F.col("second_sig")).alias("edited_fingerprint"),
+        "doc_id", F.col("n").alias("n_chars"), sha.alias("edited_sha256"), as_hex(F.col("first_sig")).alias("fingerprint"), as_hex(F.col("second_sig")).alias("edited_fingerprint"),
         likeness(F.col("first_sig"), F.col("second_sig")).alias("near_edited"), likeness(F.col("first_sig"), F.col("next_sig")).alias("near_next"),
     )
