@@ -15,6 +15,8 @@ CJK_STOPWORDS = (
 ).split()
 ALIAS = {"chat_gpt": "chatgpt", "open_ai": "openai", "gpt_4": "gpt4", "gpt_3": "gpt3"}
 WHITELIST = ["chatgpt", "openai", "gpt4", "gpt3"]
+#: Fixed value: what counts as white space at the ends of names, in order of code points.
+SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 START, END = "__START__", "__END__"
 #: Scoring: weight of PMI, weight of entropy, factor of three words, factor of single words.
 ALPHA, BETA, GAMMA, DELTA = 0.3, 0.2, 1.15, 0.25

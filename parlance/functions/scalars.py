@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.lexicon import DAY_MS, LAST_MS
+from parlance.functions.lexicon import DAY_MS, LAST_MS, SPACE
+
+
+def trim(x: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.btrim(x, F.lit(SPACE))
 
 
 def normalize_ts(raw: Column) -> Column:
@@ -17,7 +22,7 @@ def normalize_ts(raw: Column) -> Column:
 
 
 def normalize_role(raw: Column) -> Column:
-    r = F.lower(F.trim(raw))
+    r = F.lower(trim(raw))
     return F.when(r.isin("user", "human"), "user").when(r.isin("assistant", "gpt", "chatgpt", "model"), "assistant").when(r == "system", "system")
 
 
@@ -26,9 +31,9 @@ def model_family(raw: Column, mode: str = "full") -> Column:
 
     ``full`` keeps variants (``GPT-4o-mini``); ``grouped`` keeps the version only (``GPT-4o``).
     """
-    m = F.lower(F.trim(raw))
+    m = F.lower(trim(raw))
     tool = m.rlike(r"^(web\.|browser\.|python|computer|canmore)") | m.contains("tool") | m.contains("_do") | m.contains("update_")
-    bad = m.isin("all", "bio") | (F.char_length(m) > 50) | m.contains("__")
+    bad = m.isin("all", "bio") | (F.octet_length(F.encode(m, "UTF-16BE")) > 100) | m.contains("__")
     bare = F.regexp_replace(m, r"-\d{4}-\d{2}-\d{2}$", "")
     parts = F.split(bare, "-")
     version = F.get(parts, F.lit(1))

@@ -67,7 +67,7 @@ def script(token: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """``struct(n, token, lhs, rhs)`` of each run of n tokens of one script; ``words`` must be a plain column.
+    """``struct(n, token, lhs, rhs, start)`` of each run of n tokens of one script; ``words`` must be a plain column.
 
     Neighbours may have any script; at the text's ends there are sentinels.
     """
@@ -79,5 +79,6 @@ def ngrams(words: Column, n: int) -> Column:
         F.array_join(F.slice(words, i + 1, n), " ").alias("token"),
         F.when(i > 0, at(i - 1)).otherwise(L.START).alias("lhs"),
         F.coalesce(at(i + n), F.lit(L.END)).alias("rhs"),
+        i.alias("start"),
     )
     return F.transform(F.filter(starts, same), gram)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.scalars import cutoff, family_or_class, month_key, utc
+from parlance.functions.scalars import cutoff, family_or_class, month_key, trim, utc
 from parlance.functions.text import tokens, utf16_length
 
 
@@ -65,6 +65,6 @@ def _ranked(sums: DataFrame) -> DataFrame:
 
 def unknown_models(messages: DataFrame, limit: int = 10, most: int = 2001) -> DataFrame:
     """The most frequent raw names without a family, with or without a time; counts stop at ``most``."""
-    rows = messages.where((F.col("role") == "assistant") & family_or_class(F.col("model")).isin("Tools", "Unknown") & (F.trim("model") != ""))
-    sums = rows.groupBy(F.trim("model").alias("raw_model")).agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+    rows = messages.where((F.col("role") == "assistant") & family_or_class(F.col("model")).isin("Tools", "Unknown") & (trim(F.col("model")) != ""))
+    sums = rows.groupBy(trim(F.col("model")).alias("raw_model")).agg(F.least(F.count("*"), F.lit(most)).alias("n"))
     return sums.orderBy(F.desc("n"), "raw_model").limit(limit)

@@ -48,10 +48,68 @@ def test_export_shapes(spark, tmp_path):
 def test_capped_union_takes_bundles_whole(spark):
     base = spark.createDataFrame([(3, "a b c", 1), (2, "a b", 1), (2, "x y", 2), (1, "z", 1)], "n int, token string, ord int")
     got = {r["token"] for r in keywords.capped_union(base, 7).collect()}
-    assert got == {"a", "b", "c", "a b", "b c", "a b c", "z"}
+    assert got == {"a", "b", "c", "a b", "b c", "a b c", "z"}  # "x y" needs three places
 
 
 def test_views_fill_up(spark):
     rows = [("a b", 2, 9, 9.0), ("alpha", 1, 8, 2.0), ("beta", 1, 7, 1.0)]
     got = views.top_views(spark.createDataFrame(rows, "token string, n int, freq long, score double"), 2).collect()
     assert sorted((r["view"], r["rank"], r["token"]) for r in got) == [("phrases", 1, "a b"), ("phrases", 2, "alpha"), ("words", 1, "alpha"), ("words", 2, "beta")]
+
+
+def test_bundle_union_follows_the_rule():
+    assert keywords.bundle_union({3: ["a b c"], 2: ["a b", "x y"], 1: ["z"]}, 7) == [
+        (1, "z", True, 1), (1, "a", False, 2), (1, "b", False, 3), (1, "c", False, 4), (2, "a b", True, 1), (2, "b c", True, 2), (3, "a b c", True, 1),
+    ]
+    every = keywords.bundle_union({3: ["a b c"], 2: ["x y"], 1: ["z"]}, 100)
+    assert all(base for _, _, base, _ in every)
+    assert [t for n, t, _, _ in every if n == 2] == ["x y", "a b", "b c"] and [t for n, t, _, _ in every if n == 1] == ["z", "x", "y", "a", "b", "c"]
+    # What does not fit is passed over, and a smaller bundle behind it enters: also one that is a part of it.
+    small = keywords.bundle_union({3: ["a b c", "d d d"], 2: [], 1: []}, 5)
+    assert small == [(1, "a", True, 1), (1, "b", True, 2), (1, "d", False, 3), (2, "d d", True, 1), (3, "d d d", True, 1)]
+    assert keywords.bundle_union({}, 10) == []
+
+
+def test_limits_and_collated_ties(spark):
+    assert keywords.order_limits(0, {2: 5, 3: -1}) == {1: 0, 2: 5, 3: 0}
+    rows = [(1, t, 7) for t in ("b", "a_b", "a1", "aa", "1a")]
+    got = keywords.heavy_hitters(spark.createDataFrame(rows, "n int, token string, freq long"), {1: 0}).orderBy("ord").collect()
+    assert [r["token"] for r in got] == ["1a", "a_b", "a1", "aa", "b"]
+
+
+def test_scores_stay_under_the_cap(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, k, "assistant", " ".join(words[k % 50 : k % 50 + 10])) for k in range(400)]
+    msgs = spark.createDataFrame(rows, "conv_id long, msg_seq long, role string, content string")
+    full, few = (keywords.keyword_scores(msgs, most=m) for m in (3000, 25))
+    names = {(r["n"], r["token"]) for r in few.collect()}
+    counts = keywords.heavy_hitters(keywords.gram_counts(keywords.grams(keywords.token_lists(msgs))), {1: 3000, 2: 3000, 3: 3000})
+    assert names == {(r["n"], r["token"]) for r in keywords.capped_union(counts, 25).collect()} and len(names) <= 25 < full.count()
+
+
+def test_search_has_no_depth_limit(spark):
+    deep = {"role": "user", "content": "far down"}
+    for i in range(60):
+        deep = {"k": [deep]} if i % 2 else {"x": deep, "y": 1}
+    odd = [{"author": "someone", "author2": {"role": "x"}}, {"author": {"role": 5}, "content": "five", "more": {"role": "user", "content": "inside"}}]
+    files = spark.createDataFrame([(json.dumps([{"create_time": 1700000000, "t": deep}, {"list": odd}]),)], "value string")
+    got = sorted((r["content"], r["ts_ms"]) for r in export.normalize(export.parse_conversations(files)).collect())
+    assert got == [("", None), ("far down", 1700000000000), ("five", None)]
+
+
+def test_trim_takes_all_white_space(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(scalars.normalize_role(F.lit("\t User\n"))) == "user"
+    assert one(scalars.family_or_class(F.lit("﻿gpt-4o \n"))) == "GPT-4o"
+    assert one(scalars.family_or_class(F.lit("gpt-" + "\U0001f600" * 24))) == "Unknown"  # 52 units of UTF-16
+
+
+def test_swaps_and_stored_views(spark, tmp_path):
+    schema = "view string, rank int, token string, n int, freq long, score double"
+    made = lambda order: spark.createDataFrame([("words", i + 1, t, 1, 5, 1.0) for i, t in enumerate(order)], schema)
+    shown = lambda df: [r["token"] for r in df.orderBy("rank").collect()]
+    assert shown(views.reconcile(made("abc"), made("acb"))) == list("acb")
+    assert shown(views.reconcile(made("abc"), made("acb"), 0)) == list("abc")
+    path = str(tmp_path / "views")
+    assert views.load_views(spark, path) is None
+    assert [shown(views.show(made(o), path)) for o in ("abc", "cab", "bca", "abd")] == [list("abc"), list("abc"), list("abc"), list("abd")]
