@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import discard, materialize
 
 
-#: A key counts as hot from this many rows on, or from a thousandth of all rows if that is more.
-HOT_ROWS = 1000
+#: A key counts as hot from this many (small) rows on, or from a thousandth of all rows if that is more.
+HOT_ROWS = 100_000
 
 
 def join_hot(rows: DataFrame, found: DataFrame, key: str | list[str], total: int) -> DataFrame:

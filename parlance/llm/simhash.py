@@ -177,16 +177,15 @@ def _linked(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between rows of one bucket that span the components of its links.
+    """Edges between rows of one bucket, each a link, that span the components of its links.
 
     A search from each root compares only with what no root has reached yet, so a dense group
-    costs little more than its size and no list of all its pairs ever exists. A component comes
-    out as a tree with at most eight children a node, so that it has no hub.
+    costs little more than its size and no list of all its pairs ever exists.
     """
     rest = np.flatnonzero(_linked(fps, radius))
     ups, downs = [], []
     while len(rest):
-        group, queue = [rest[:1]], [rest[:1]]
+        queue = [rest[:1]]
         rest = rest[1:]
         while queue and len(rest):
             block = queue.pop()
@@ -194,14 +193,13 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             if len(block) > most:
                 queue.append(block[most:])
                 block = block[:most]
-            near = _near(fps[block], fps[rest], radius).any(axis=0)
-            if near.any():
-                group.append(rest[near])
-                queue.append(rest[near])
-                rest = rest[~near]
-        nodes = np.concatenate(group)
-        ups.append(nodes[(np.arange(1, len(nodes)) - 1) // 8])
-        downs.append(nodes[1:])
+            near = _near(fps[block], fps[rest], radius)
+            met = near.any(axis=0)
+            if met.any():
+                ups.append(block[near[:, met].argmax(axis=0)])
+                downs.append(rest[met])
+                queue.append(rest[met])
+                rest = rest[~met]
     none = np.empty(0, np.int64)
     return np.concatenate([none, *ups]), np.concatenate([none, *downs])
 
@@ -234,10 +232,6 @@ def _edges(bucket: np.ndarray, fps: np.ndarray, how: Sketch, every: list[tuple[i
         vs.append(hit + step)
         step += 1
         i = i[left[i] >= step]
-    u, v = np.concatenate(us), np.concatenate(vs)
-    if most is not None and len(u):  # a pair that meets in several tables is one link
-        fresh_pair = _first_table(fps[u] ^ fps[v], every) == bucket[u] >> TABLE_BIT
-        u, v = u[fresh_pair], v[fresh_pair]
     over = []
     for k in np.flatnonzero(size > SMALL).tolist():
         a, b = int(start[k]), int(start[k] + size[k])
@@ -245,7 +239,14 @@ def _edges(bucket: np.ndarray, fps: np.ndarray, how: Sketch, every: list[tuple[i
             over.append(np.arange(a, b))
             continue
         up, down = _forest(fps[a:b], how.radius)
-        u, v = np.append(u, up + a), np.append(v, down + a)
+        us.append(up + a)
+        vs.append(down + a)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    if most is not None and len(u):
+        # A link that meets in an earlier table is left to it: its ends are connected there, by links
+        # that meet there or earlier still.
+        first = _first_table(fps[u] ^ fps[v], every) == bucket[u] >> TABLE_BIT
+        u, v = u[first], v[first]
     return u, v, np.concatenate([np.empty(0, np.int64), *over])
 
 
