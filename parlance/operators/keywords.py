@@ -207,11 +207,15 @@ def score(stats: DataFrame, total: int, how: Scoring = Scoring()) -> DataFrame:
     hit = lambda c, w: F.struct(F.col(c).alias("token"), F.log(F.lit(w)).alias("w"))
     two = F.array(hit("a", L.UNI_OF_BI), hit("b", L.UNI_OF_BI))
     tri = F.array(*[hit(c, L.UNI_OF_TRI) for c in ("a", "b", "c")], *[hit(c, L.BI_OF_TRI) for c in ("ab", "bc")])
-    lowered = rows.where("passed").select(F.explode(F.when(F.col("n") == 2, two).otherwise(tri)).alias("h")).groupBy("h.token").agg(F.exp(F.sum("h.w")).alias("factor"))
+    # Scores of single words often lie right between two sixth digits, where the order of a sum and the way of rounding show: the
+    # logarithms are added in ascending order, whatever the order of the rows, and scores are scaled and then rounded, as in the SQL.
+    total_w = F.aggregate(F.array_sort(F.collect_list("h.w")), F.lit(0.0), lambda s, w: s + w)  # as many as the candidates have parts, at most
+    lowered = rows.where("passed").select(F.explode(F.when(F.col("n") == 2, two).otherwise(tri)).alias("h")).groupBy("h.token").agg(F.exp(total_w).alias("factor"))
     done = rows.join(F.broadcast(lowered), "token", "left")
+    scaled = F.col("raw") * F.coalesce("factor", F.lit(1.0)) * 1e6
     return done.select(
         "token", "n", "freq", F.round("pmi", 6).alias("pmi"), F.round("left_entropy", 6).alias("left_entropy"), F.round("right_entropy", 6).alias("right_entropy"),
-        F.round("min_entropy", 6).alias("min_entropy"), F.round(F.col("raw") * F.coalesce("factor", F.lit(1.0)), 6).alias("score"),
+        F.round("min_entropy", 6).alias("min_entropy"), (F.round(scaled) / 1e6).alias("score"),
     )
 
 
