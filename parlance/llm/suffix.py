@@ -139,46 +139,91 @@ def _chunk_pieces(held: list[tuple[int, int, bytes]], how: Repeats, level: int)
     return no, start, length, h[where[first]], same
 
 
+def _eights(symbols: np.ndarray, order: str) -> np.ndarray:
+    """The eight bytes at each position as one integer, the last ones filled up with zeros; ``order``: ``<`` or ``>``."""
+    n = len(symbols)
+    rows = -(-n // 8)
+    raw = np.concatenate([symbols, np.zeros(8 * rows + 8 - n, np.uint8)])
+    out = np.empty((rows, 8), np.uint64)
+    for j in range(8):
+        out[:, j] = np.frombuffer(raw, f"{order}u8", rows, j)
+    return out.reshape(-1)[:n]
+
+
+def _first_keys(code: np.ndarray, rest: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first symbols at each position, up to the end sign, as one integer, and how many they are.
+
+    Eight where the symbols fit in a byte; no UTF-8 text has the byte 255, which does not, and then seven.
+    """
+    n = len(code)
+    if code.max() < 256:
+        key = _eights(code.astype(np.uint8), ">")
+        for j in range(8):
+            key[ends[sizes > j] - j] &= np.uint64(MASK ^ ((1 << 8 * (8 - j)) - 1))
+        return key, 8
+    key = np.zeros(n, np.uint64)
+    for j in range(7):
+        digit = np.zeros(n, np.uint64)
+        digit[: max(n - j, 0)] = code[j:]
+        digit[rest < j] = 0
+        key = key * np.uint64(257) + digit
+    return key, 7
+
+
+def _changes(key: np.ndarray) -> np.ndarray:
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return new
+
+
 def suffix_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array of the parts, each closed by an end sign of its own, smaller than any byte.
 
     Returns the order, the text as 16-bit symbols (0: end sign), each position's distance to its end sign and
-    its part. Prefix doubling from seven symbols on; settled suffixes leave the sorting.
+    its part. Prefix doubling from the first symbols on; settled suffixes leave the sorting. Suffixes that
+    reach an end sign are settled by its place, so that the others have all symbols that are compared.
     """
     sizes = np.array([len(p) + 1 for p in parts])
     n = int(sizes.sum())
     ends = np.cumsum(sizes) - 1
-    code = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 1
+    code = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     code[ends] = 0
     part = np.repeat(np.arange(len(parts)), sizes)
-    rest = ends[part] - np.arange(n)
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        digit = np.zeros(n, np.int64)
-        digit[: n - j] = code[j:]
-        digit[rest < j] = 0
-        key = key * 257 + digit
-    order = np.argsort(key, kind="stable")
+    rest = np.repeat(ends, sizes) - np.arange(n)
+    key, width = _first_keys(code, rest, ends, sizes)
+    order = np.argsort(key)
     key = key[order]
-    new = np.append(True, key[1:] != key[:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    width = 7
+    new = _changes(key)
     slots = np.arange(n)
+    near = np.zeros(n, bool)
+    for j in range(width):
+        near[ends[sizes > j] - j] = True
+    ended = np.flatnonzero(near[order])
+    order[ended] = order[ended][np.lexsort((order[ended], key[ended]))]
+    new[ended] = True
+    first = np.maximum.accumulate(np.where(new, slots, 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    at, bits = order, n.bit_length()
     while True:
-        alone = new & np.append(new[1:], True)
-        if alone.all():
-            return order, code.astype(np.int16), rest, part
-        slots = slots[~alone]
-        at = order[slots]
-        ahead = np.minimum(at + width, n - 1)
-        second = np.where(rest[at] >= width, len(parts) + rank[ahead], part[at])
-        key = rank[at] * (n + len(parts) + 1) + second
-        by = np.argsort(key, kind="stable")
-        key, at = key[by], at[by]
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        if not tied.any():
+            return order, code, rest, part
+        slots, at, first = slots[tied], at[tied], first[tied]
+        if 3 * bits < 64:  # place, next rank and position in one integer: sorted without an index
+            key = ((first << bits | rank[at + width]) << bits) | at
+            key.sort()
+            at = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            key = first << bits | rank[at + width]
+            by = np.argsort(key)
+            key, at = key[by], at[by]
         order[slots] = at
-        new = np.append(True, key[1:] != key[:-1])
-        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        new = _changes(key)
+        first = np.maximum.accumulate(np.where(new, slots, 0))
+        rank[at] = first
         width *= 2
 
 
@@ -225,10 +270,7 @@ def matching_statistics(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     order, code, rest, part = suffix_order(parts)
     runs = run_index(order, code)
     n = len(order)
-    raw = np.concatenate([(code - 1).astype(np.uint8), np.zeros(8, np.uint8)])
-    words = np.zeros(n, np.uint64)
-    for j in range(8):
-        words |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    words = _eights((code - 1).astype(np.uint8), "<")
     found = np.zeros(n, np.int64)
     for mine, other, edge in ((runs.head[1:], runs.tail[:-1], runs.head[0]), (runs.tail[:-1], runs.head[1:], runs.tail[-1])):
         sample = np.full(n, -1, np.int64)

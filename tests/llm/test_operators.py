@@ -153,6 +153,34 @@ def test_op2_matching_statistics(seed):
                 assert (found[at[no] + i] >= k) == (count[p[i : i + k]] > 1)
 
 
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"\0\1", b"\xfe\xff", bytes(range(256))])
+def test_op2_suffix_order(letters):
+    """Against sorting, end signs by their place: parts of a few bytes, empty and equal ones, with and without byte 255."""
+    rng = np.random.default_rng(len(letters))
+    for sizes in ([0], [1], [1, 0], [2, 3], [0, 7, 8, 9], [300, 40, 300, 5]):
+        parts = [bytes(rng.choice(list(letters), n).tolist()) for n in sizes] * 2
+        parts = parts[: max(1, len(parts) - len(sizes) % 2)]
+        suffixes = [([b + 1 for b in p[i:]] + [0], no) for no, p in enumerate(parts) for i in range(len(p) + 1)]
+        order, code, rest, part = suffix.suffix_order(parts)
+        assert order.tolist() == sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        assert [(s[0], len(s) - 1, no) for s, no in suffixes] == list(zip(code.tolist(), rest.tolist(), part.tolist(), strict=True))
+
+
+def test_op2_suffix_order_without_room_for_positions():
+    """Two million bytes and more are sorted by index; the order is the same."""
+    parts = [b"abcab" * 260_000, b"cabca" * 240_000]
+    small = [p[:5000] for p in parts]
+    for p in (parts, small):
+        order, code, rest, part = suffix.suffix_order(p)
+        assert (np.bincount(order, minlength=len(order)) == 1).all()
+        assert (code[order][1:] >= code[order][:-1]).all()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        a, b = order[:-1], order[1:]
+        same = (code[a] == code[b]) & (code[a] > 0)
+        assert (place[a[same] + 1] < place[b[same] + 1]).all()
+
+
 def test_op3_laws(spark, texts):
     got = NAMES["op3_histogram_shards"](spark, SF).toPandas()
     assert len(got) == len(texts)
