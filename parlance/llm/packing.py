@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from parlance.llm.common import discard, materialize, pick
 from parlance.llm.sharding import GROUP_BITS, find_cuts
@@ -39,26 +41,46 @@ class Bm25:
     b: float = 0.75
 
 
-def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, order, ids, n``: each document's ids with the closing id 0, as 16-bit integers in a binary column."""
+def counted_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, order, kind, ids, n, seen``: each document's ids with the closing id 0, as 16-bit integers in a binary column.
+
+    ``kind`` names the text. ``seen`` is null; the last row of each task has nothing else: in how many of its
+    documents each id occurs, so that the ids need not be read again to count them.
+    """
     shared = share(docs.sparkSession, path)
     if max(shared.value.whole.values(), default=0) >= 1 << 16:
         raise ValueError("ids must fit in 16 bits")
-    slim = pick(docs, doc_id=id_col, text=text_col).withColumn("order", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(5)))
-    end = np.array([END_ID], "<u2")
+    text = F.coalesce("text", F.lit(""))
+    slim = pick(docs, doc_id=id_col, text=text_col).withColumns({"order": F.xxhash64("doc_id", text, F.lit(5)), "kind": F.xxhash64(text, F.lit(3))})
+    end = np.array([END_ID], "<u2").tobytes()
+    names = ["doc_id", "order", "kind", "ids", "n", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared, "<u2", WholeEncoder)
+        seen, last = np.zeros(1 << 16, np.int64), None
         for b in batches:
-            ids = [np.append(encoder.ids(t), end).tobytes() for t in b.column("text").to_pylist()]
+            ids = [encoder.ids(t).tobytes() + end for t in b.column("text").to_pylist()]
+            for x in ids:
+                t = np.sort(np.frombuffer(x, "<u2"))
+                seen[t[np.append(True, t[1:] != t[:-1])]] += 1
             n = pa.array([len(x) // 2 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("order"), pa.array(ids, pa.binary()), n], names=["doc_id", "order", "ids", "n"])
+            last = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("order"), b.column("kind"), pa.array(ids, pa.binary()), n, pa.nulls(len(ids), pa.binary())], names=names)
+            yield last
+        if last is not None:
+            at = np.flatnonzero(seen)
+            packed = at.astype("<u2").tobytes() + seen[at].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in last.schema if f.name != "seen"), pa.array([packed], pa.binary())], names=names)
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.select("doc_id", "order", "text").mapInArrow(run, f"doc_id {kind}, order long, ids binary, n long")
+    return slim.select("doc_id", "order", "kind", "text").mapInArrow(run, f"doc_id {kind}, order long, kind long, ids binary, n long, seen binary")
 
 
-def document_frequency(tokens: DataFrame) -> np.ndarray:
+def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, order, ids, n`` of ``counted_tokens``."""
+    return counted_tokens(docs, path, id_col, text_col).where("seen IS NULL").select("doc_id", "order", "ids", "n")
+
+
+def document_frequency(counted: DataFrame) -> np.ndarray:
     """In how many documents each id occurs, counted over all of them; the array has the vocabulary's size.
 
     Rows that repeat count each; an empty text has its closing id alone. No rows give zeros.
@@ -67,12 +89,14 @@ def document_frequency(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                seen[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+            for x in b.column("seen").to_pylist():
+                size = len(x) // 6
+                seen[np.frombuffer(x, "<u2", size)] += np.frombuffer(x, "<u4", size, 2 * size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
 
-    sums = tokens.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    parts = counted.where("seen IS NOT NULL").select("seen")
+    sums = parts.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << 16, np.int64)
     out[sums["token"].to_numpy()] = sums["n"].to_numpy()
     return out
@@ -134,7 +158,9 @@ class Index:
         total = int(size.sum())
         at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total) if total else np.empty(0, np.int64)
         rows = self.row[t]
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.dense[rows[rows >= 0]].sum(axis=0)
+        asked = np.zeros(len(self.dense), np.float32)
+        asked[rows[rows >= 0]] = 1
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + asked @ self.dense
 
 
 _SIGNS: list[np.ndarray] = []
@@ -193,8 +219,11 @@ def place(x: np.ndarray, tree: Node | None) -> np.ndarray:
     return (path << 20) + np.clip(((along + 1) * (1 << 19)).astype(np.int64), 0, (1 << 20) - 1)
 
 
-def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -> DataFrame:
-    """``table`` with ``key``: the place of its content, then bits of its hash, so that copies lie together and can be cut."""
+def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -> tuple[DataFrame, list[int]]:
+    """``table`` with ``key``: the place of its content, then bits of its hash, so that copies lie together and can be cut.
+
+    Also the keys at which the sampled documents' places begin.
+    """
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(rarity)
 
@@ -204,10 +233,12 @@ def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["x"])
 
     # Equal texts count once; the smallest hashes are a random sample that is the same in each run.
-    kinds = table.groupBy(F.xxhash64("ids", F.lit(3)).alias("kind")).agg(F.count("*").alias("copies")).orderBy("kind").limit(SAMPLE_ROWS)
-    some = table.join(F.broadcast(kinds), F.xxhash64("ids", F.lit(3)) == F.col("kind")).dropDuplicates(["kind"]).orderBy("kind")
+    last = table.select("kind").distinct().orderBy("kind").limit(SAMPLE_ROWS).agg(F.max("kind")).first()[0]
+    some = table.where(F.col("kind") <= F.lit(last)).dropDuplicates(["kind"]).orderBy("kind")
     rows = [np.frombuffer(r["x"], np.float32) for r in some.select("ids").mapInArrow(sample, "x binary").collect()]
-    tree = spark.sparkContext.broadcast(grow(np.stack(rows)) if rows else None)
+    grown = grow(np.stack(rows)) if rows else None
+    tree = spark.sparkContext.broadcast(grown)
+    marks = np.unique(place(np.stack(rows), grown)) << GROUP_BITS if rows else np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +249,8 @@ def content_keys(table: DataFrame, rarity: np.ndarray, mean: float, how: Bm25) -
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at << GROUP_BITS) | own)], names=[*b.schema.names, "key"])
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    return table.mapInArrow(run, f"doc_id {kind}, order long, ids binary, n long, key long")
+    keyed = table.select("doc_id", "order", "ids", "n").mapInArrow(run, f"doc_id {kind}, order long, ids binary, n long, key long")
+    return keyed, marks.tolist()
 
 
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -268,25 +300,25 @@ def pack(
     give no rows. Ties in score go to the document with the smaller hash.
     """
     spark = docs.sparkSession
-    table = materialize(token_table(docs, path, id_col, text_col), "pack-tokens")
+    counted = materialize(counted_tokens(docs, path, id_col, text_col), "pack-tokens")
+    table = counted.where("seen IS NULL").drop("seen")
     sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     total, mean = int(sums["n"]), sums["tokens"] / max(1, sums["n"])
     shards = max(1, -(-int(sums["tokens"]) // shard_tokens))
-    df = document_frequency(table).astype(np.float64)
+    df = document_frequency(counted).astype(np.float64)
     shared = spark.sparkContext.broadcast(df)
     starts = np.empty(0, np.int64)
     if shards > 1:
-        placed = materialize(content_keys(table, idf(df, total), mean, how), "pack-placed")
-        discard(table)
-        table = placed
-        starts = np.array([c.key for c in find_cuts(table.select("key", F.col("n").alias("size")), shards, 0.05)], np.int64)
+        keyed, marks = content_keys(table, idf(df, total), mean, how)
+        table = materialize(keyed, "pack-placed")
+        discard(counted)
+        starts = np.array([c.key for c in find_cuts(table.select("key", F.col("n").alias("size")), shards, 0.05, first=marks)], np.int64)
     else:
         table = table.withColumn("key", F.col("order"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = np.searchsorted(starts, b.column("key").to_numpy(), side="right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
+    @pandas_udf("long")
+    def deal(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, keys.to_numpy(), side="right").astype(np.int64))
 
     def run(rows: pa.Table) -> pa.Table:
         # Ids stay in Arrow: a pandas column of long with a null would round them.
@@ -309,7 +341,7 @@ def pack(
         )
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    dealt = table.mapInArrow(deal, f"doc_id {kind}, order long, ids binary, n long, key long, shard long")
+    dealt = table.select("doc_id", "order", "ids", "n", deal("key").alias("shard"))
     return dealt.groupBy("shard").applyInArrow(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )

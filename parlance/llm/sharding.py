@@ -11,7 +11,8 @@ together, a large group of copies can still be cut, and the order is the same in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,14 +55,14 @@ def _counts(rows: DataFrame, probes: list[int]) -> dict[int, tuple[int, int]]:
     return dict(zip(at.tolist(), zip(np.cumsum(size)[:-1].tolist(), np.cumsum(count)[:-1].tolist(), strict=True), strict=True))
 
 
-def find_cuts(rows: DataFrame, parts: int, tolerance: float = 0.002, probes: int = 24) -> list[Cut]:
+def find_cuts(rows: DataFrame, parts: int, tolerance: float = 0.002, probes: int = 24, first: Sequence[int] = ()) -> list[Cut]:
     """``parts - 1`` splitters of ``rows(key long, size long)`` with near-equal bytes between them.
 
     A splitter is settled once the bytes below it are within ``tolerance`` of a part of its
-    target, or when no key is left between its bounds (one key holds what is missing); then
+    target, or when one row or no key is left between its bounds (one key holds what is missing); then
     the nearer bound counts. ``probes`` a splitter and round go out, so that the driver
     holds ``parts * probes`` counts. Among settled probes one that keeps a group of equal
-    texts whole is preferred.
+    texts whole is preferred. ``first``: keys of a sample, which all splitters probe before.
     """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.count("*").alias("n")).first()
     goal = [total["s"] * k / parts for k in range(1, parts)]
@@ -69,13 +70,22 @@ def find_cuts(rows: DataFrame, parts: int, tolerance: float = 0.002, probes: int
     low = [Cut(KEY_LOW, 0, 0)] * len(goal)
     high = [Cut(KEY_HIGH, total["s"], total["n"])] * len(goal)
     done: list[Cut | None] = [None] * len(goal)
+    if first and goal:
+        cuts = [low[0], *(Cut(p, *c) for p, c in _counts(rows, list(first)).items()), high[0]]
+        below = [c.below_bytes for c in cuts]
+        for k, g in enumerate(goal):
+            at = min(max(bisect_right(below, g), 1), len(cuts) - 1)
+            low[k], high[k] = cuts[at - 1], cuts[at]
+            near = min(low[k], high[k], key=lambda c: (abs(c.below_bytes - g), c.key))
+            if abs(near.below_bytes - g) <= slack:
+                done[k] = near
     while any(c is None for c in done):
         wanted: dict[int, list[int]] = {}
         for k, g in enumerate(goal):
             if done[k] is not None:
                 continue
             a, b = low[k].key, high[k].key
-            if b - a <= 1 or low[k].below_bytes == high[k].below_bytes:
+            if b - a <= 1 or low[k].below_bytes == high[k].below_bytes or high[k].below_rows - low[k].below_rows <= 1:
                 done[k] = min(low[k], high[k], key=lambda c: (abs(c.below_bytes - g), c.key))
                 continue
             n = min(probes, b - a - 1)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parlance.llm import fingerprints, licenses, mixing, neighbours, packing, queries, sharding, simhash, suffix, toxicity
+from parlance.llm import fingerprints, licenses, mixing, neighbours, packing, queries, sharding, simhash, suffix, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 NAMES = queries.queries()
@@ -272,6 +272,58 @@ def test_op7_common_tokens_are_searched():
     assert [row for row, *_ in packing.fill(docs, index)] == [0, 2, 3, 1]
 
 
+def test_op7_counts_come_with_the_ids(spark, docs):
+    """Document frequencies of the tasks' last rows against the ids, also with null and empty texts and copies."""
+    rows = docs.select("doc_id", "text").unionByName(docs.limit(50).select("doc_id", "text")).unionByName(spark.createDataFrame([(None, None), (7, ""), (8, "a a <|endoftext|>")], "doc_id long, text string"))
+    path = queries.tokenizer_path()
+    table = packing.token_table(rows, path).toPandas()
+    assert len(table) == rows.count()
+    want = np.bincount(np.concatenate([np.unique(np.frombuffer(x, "<u2")) for x in table["ids"]]), minlength=1 << 16)
+    for parts in (1, 7):
+        assert (packing.document_frequency(packing.counted_tokens(rows.repartition(parts), path)) == want).all()
+    assert not packing.document_frequency(packing.counted_tokens(rows.where("false"), path)).any()
+
+
+def test_op7_shards_are_cut_in_few_passes(docs, monkeypatch):
+    """The sample's places bound each cut, so that few passes over the keys are needed; shards stay near equal."""
+    passes = []
+    counts = sharding._counts
+    monkeypatch.setattr(sharding, "_counts", lambda rows, probes: passes.append(len(probes)) or counts(rows, probes))
+    got = packing.pack(docs, queries.tokenizer_path(), shard_tokens=100_000).toPandas()
+    sizes = got.groupby(got["sequence_id"] // (1 << 32))["length"].sum()
+    assert 1 <= len(passes) <= 3
+    assert len(sizes) == -(-sizes.sum() // 100_000) and abs(sizes - sizes.mean()).max() <= 0.1 * sizes.mean() + 2 * got["doc_tokens"].max()
+
+
+def test_op7_encoder_by_either_pattern(library):
+    """Signs of white space and letters at random: the library's ids; texts in which no white space meets don't look ahead."""
+    shortcut = tokens.prove(queries.tokenizer_path())
+    encoder = tokens.WholeEncoder(shortcut, "<u2")
+    rng = np.random.default_rng(3)
+    odd = list("ab1!'s t  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u200b\u202f\u3000\u180eé中\u0301²") + ["<|endoftext|>", "\U00010400"]
+    plain = list("ab1!'s t\n\t\x1c\u200b中") + ["a"] * 8
+    for k in range(4000):
+        text = "".join(rng.choice(plain if k % 2 else odd, int(rng.integers(0, 25))))
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    encoder.merger = None
+    for text in ("one two\nthree\tfour", " it's 12 中文字 x\n", "a\x1c\x1db"):
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_op3_cuts_with_a_sample(spark):
+    """Keys of a sample narrow the search; the counts of the cuts are exact and within the tolerance."""
+    rows = spark.range(5000).selectExpr("cast((id * 7919) % 4999 as long) << 40 AS key", "cast(1 + id % 13 AS long) AS size")
+    table = rows.toPandas()
+    total = table["size"].sum()
+    for first in ([], [5 << 40], [k << 40 for k in range(0, 5000, 37)], [k << 40 for k in range(4990, 6000)]):
+        cuts = sharding.find_cuts(rows, 8, 0.05, first=first)
+        assert len(cuts) == 7
+        for k, c in enumerate(cuts, 1):
+            below = table[table["key"] < c.key]
+            assert (c.below_bytes, c.below_rows) == (below["size"].sum(), len(below))
+            assert abs(c.below_bytes - total * k / 8) <= 0.05 * total / 8
+
+
 def test_op7_shards_hold_neighbours(docs):
     """Against BM25 over all documents: copies share a shard, and so do far more of the best ten than a deal by hash gives."""
     path = queries.tokenizer_path()
