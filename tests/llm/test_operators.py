@@ -153,6 +153,19 @@ def test_op2_matching_statistics(seed):
                 assert (found[at[no] + i] >= k) == (count[p[i : i + k]] > 1)
 
 
+def test_op2_hashes_by_blocks(monkeypatch):
+    """Blocks of any length give the same hashes and minima as one."""
+    buffer = np.random.default_rng(5).integers(0, 256, 1000).astype(np.uint8)
+    whole = suffix._rolling(buffer, 32, 1)
+    least = [whole[i : i + 129].min() for i in range(len(whole) - 128)]
+    assert suffix._smallest(whole, 129).tolist() == least
+    for block in (1, 7, 969, 970):
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        assert (suffix._rolling(buffer, 32, 1) == whole).all()
+        assert suffix._smallest(whole, 129).tolist() == least
+    assert len(suffix._rolling(buffer[:32], 32)) == 1
+
+
 @pytest.mark.parametrize("letters", [b"a", b"ab", b"\0\1", b"\xfe\xff", bytes(range(256))])
 def test_op2_suffix_order(letters):
     """Against sorting, end signs by their place: parts of a few bytes, empty and equal ones, with and without byte 255."""
